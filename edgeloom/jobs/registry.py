@@ -1,4 +1,420 @@
-"""Registered queries of the graph jobs and their SQL."""
+"""Registered queries of the graph jobs and their SQL (DuckDB)."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import compress as cm
+from ..operators import edges as ed
+from ..operators import gcn, normalize, report, similarity, tree
+from ..operators import propagate as pr
+from ..sources.graphs import batch_graphs
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+COP = "e AS (SELECT DISTINCT CAST(a.l_partkey AS BIGINT) AS src, CAST(b.l_partkey AS BIGINT) AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey)"
+SUPP = "e AS (SELECT DISTINCT CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem)"
+ORD = "e AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst FROM lineitem)"
+DAY = "e AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS src, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS dst FROM events)"
+NODES = "v AS (SELECT unnest(range((SELECT max(greatest(src, dst)) + 1 FROM e))) AS node)"
+PART = "x AS (SELECT CAST(p_partkey AS BIGINT) AS node, CAST(p_size AS DOUBLE) AS x0, CAST(p_partkey % 7 AS DOUBLE) AS x1 FROM part)"
+DAYX = "x AS (SELECT node, CAST(node % 11 AS DOUBLE) AS x0, CAST(node AS DOUBLE) AS x1 FROM v)"
+DEG = "d AS (SELECT v.node, count(e.dst) AS deg FROM v LEFT JOIN e ON e.dst = v.node GROUP BY 1)"
+W1, W2 = np.array([[1.0, 2.0], [3.0, -1.0]]), np.array([[1.0, 1.0]])
+
+
+def add(name: str, sql: str | None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def flat(df: DataFrame, width: int, digits: int | None = None) -> DataFrame:
+    """node and x0, x1, ..., rounded if asked."""
+    cols = [F.col("x")[i] for i in range(width)]
+    return df.select("node", *[(F.round(c, digits) if digits else c).alias(f"x{i}") for i, c in enumerate(cols)])
+
+
+# Edges
+
+
+@add("num_nodes", f"WITH {COP} SELECT CAST(max(greatest(src, dst)) + 1 AS BIGINT) AS n FROM e")
+def _(spark, d):
+    return fx.copurchase(spark, d).agg((F.max(F.greatest("src", "dst")) + 1).alias("n"))
+
+
+@add("transpose", f"WITH {SUPP} SELECT dst AS src, src AS dst FROM e")
+def _(spark, d):
+    return ed.transpose(fx.part_supp(spark, d))
+
+
+@add("remove_self_loops", f"WITH {SUPP} SELECT * FROM e WHERE src <> dst")
+def _(spark, d):
+    return ed.remove_self_loops(fx.part_supp(spark, d))
+
+
+@add("add_self_loops", f"WITH {SUPP}, {NODES} SELECT src, dst FROM e WHERE src <> dst UNION SELECT node, node FROM v")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return ed.add_self_loops(e, fx.sized(e))
+
+
+@add("coalesce_edges", "SELECT CAST(l_orderkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    return ed.coalesce_edges(ed.with_unit_weight(fx.order_part(spark, d, repeats=True)))
+
+
+@add("sort_edges", f"WITH {SUPP} SELECT * FROM e ORDER BY src, dst")
+def _(spark, d):
+    return ed.sort_edges(fx.part_supp(spark, d))
+
+
+@add("union_edges", f"WITH {SUPP} SELECT * FROM e UNION ALL SELECT dst, src FROM e")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return ed.union_edges(e, ed.transpose(e))
+
+
+@add("edge_difference", f"WITH {SUPP} (SELECT src, dst, 'left' AS side FROM e EXCEPT SELECT dst, src, 'left' FROM e) UNION ALL (SELECT dst, src, 'right' FROM e EXCEPT SELECT src, dst, 'right' FROM e)")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return ed.edge_difference(e, ed.transpose(e))
+
+
+@add("to_rows", f"WITH {SUPP}, {NODES} SELECT node AS row, count(dst) AS nnz, coalesce(string_agg(dst, ',' ORDER BY dst), '') AS cols FROM v LEFT JOIN e ON src = node GROUP BY 1")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return ed.to_rows(e, fx.sized(e)).select("row", "nnz", F.array_join(F.transform("entries.col", lambda c: c.cast("string")), ",").alias("cols"))
+
+
+@add("row_pointer", f"WITH {SUPP}, {NODES}, c AS (SELECT node AS row, count(dst) AS nnz FROM v LEFT JOIN e ON src = node GROUP BY 1) SELECT row, CAST(sum(nnz) OVER (ORDER BY row) - nnz AS BIGINT) AS ptr FROM c")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return ed.row_pointer(ed.to_rows(e, fx.sized(e)), 500)
+
+
+@add("to_edges", f"WITH {SUPP} SELECT src, dst, CAST(1 AS DOUBLE) AS weight FROM e")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return ed.to_edges(ed.to_rows(e, fx.sized(e)))
+
+
+@add("check_edges", f"WITH {COP}, i AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT (SELECT count(*) FROM i) = (SELECT max(id) + 1 FROM i) AS contiguous, (SELECT count(*) FROM e) = (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS coalesced, (SELECT min(id) FROM i) = 0 AS starts_at_zero, (SELECT count(*) FROM e WHERE src IS NULL OR dst IS NULL) = 0 AS no_nulls")
+def _(spark, d):
+    return ed.check_edges(fx.copurchase(spark, d))
+
+
+@add("batch_graphs", f"WITH g AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS graph_id, CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst FROM lineitem), s AS (SELECT graph_id, max(greatest(src, dst)) + 1 AS n FROM g GROUP BY 1), o AS (SELECT graph_id, CAST(sum(n) OVER (ORDER BY graph_id) - n AS BIGINT) AS o FROM s) SELECT graph_id, src + o AS src, dst + o AS dst FROM g JOIN o USING (graph_id)")
+def _(spark, d):
+    g = fx.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("graph_id"), F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
+    return batch_graphs(g, g.groupBy("graph_id").agg((F.max(F.greatest("src", "dst")) + 1).alias("n")))
+
+
+# Degrees and normalisation
+
+
+@add("degree", f"WITH {COP}, {NODES}, {DEG} SELECT node, deg FROM d")
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    return normalize.degree(e, fx.sized(e))
+
+
+@add("inv_sqrt_degree", f"WITH {COP}, {NODES}, {DEG} SELECT node, deg, round(CASE WHEN deg > 0 THEN pow(deg, -0.5) ELSE 0 END, 9) AS scale FROM d")
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    return normalize.inv_sqrt_degree(e, fx.sized(e)).withColumn("scale", F.round("scale", 9))
+
+
+@add("normalize_edges", f"WITH {COP}, c AS (SELECT dst AS node, count(*) AS deg FROM e GROUP BY 1) SELECT src, dst, round(pow(a.deg, -0.5) * pow(b.deg, -0.5), 9) AS weight FROM e JOIN c a ON src = a.node JOIN c b ON dst = b.node")
+def _(spark, d):
+    return normalize.normalize_edges(fx.copurchase(spark, d)).withColumn("weight", F.round("weight", 9))
+
+
+@add("normalize_adjacency", f"WITH {COP}, w AS (SELECT src, dst, CAST(1 + (src + dst) % 5 AS DOUBLE) AS weight FROM e), c AS (SELECT dst AS node, sum(weight) AS s FROM w GROUP BY 1) SELECT src, dst, round(weight * pow(a.s, -0.5) * pow(b.s, -0.5), 9) AS weight FROM w JOIN c a ON src = a.node JOIN c b ON dst = b.node")
+def _(spark, d):
+    w = fx.copurchase(spark, d).withColumn("weight", (1 + (F.col("src") + F.col("dst")) % 5).cast("double"))
+    return normalize.normalize_adjacency(w).withColumn("weight", F.round("weight", 9))
+
+
+# Propagation
+
+
+@add("gather", f"WITH {COP}, {PART} SELECT src, dst, x0, x1 FROM e JOIN x ON src = node")
+def _(spark, d):
+    return pr.gather(fx.copurchase(spark, d), fx.part_features(spark, d)).select("src", "dst", F.col("x_j")[0].alias("x0"), F.col("x_j")[1].alias("x1"))
+
+
+SUMS = "SELECT v.node, coalesce(sum(x0), 0) AS x0, coalesce(sum(x1), 0) AS x1 FROM v LEFT JOIN (e JOIN x ON {a} = x.node) ON {b} = v.node GROUP BY 1"
+
+
+@add("propagate", f"WITH {COP}, {NODES}, {PART} " + SUMS.format(a="src", b="dst"))
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    return flat(pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2), 2)
+
+
+@add("propagate_backward", f"WITH {SUPP}, {NODES}, {PART} " + SUMS.format(a="dst", b="src"))
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return flat(pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2, flow="target_to_source"), 2)
+
+
+@add("propagate_max_hook", f"WITH {COP}, {NODES}, {PART} SELECT v.node, coalesce(max(s.x0 - t.x0), 0) AS x0, coalesce(max(s.x1 - t.x1), 0) AS x1 FROM v LEFT JOIN (e JOIN x s ON src = s.node JOIN x t ON dst = t.node) ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    out = pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2, message=lambda j, i, w: F.zip_with(j, i, lambda a, b: a - b), aggregate=F.max)
+    return flat(out, 2)
+
+
+@add("propagate_rectangular", f"WITH {SUPP}, {PART}, n AS (SELECT unnest(range((SELECT max(dst) + 1 FROM e))) AS node) SELECT n.node, coalesce(sum(x0), 0) AS x0, coalesce(sum(x1), 0) AS x1 FROM n LEFT JOIN (e JOIN x ON src = x.node) ON dst = n.node GROUP BY 1")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    sizes = e.agg(F.max("src") + 1, F.max("dst") + 1).first()
+    return flat(pr.propagate(e, fx.part_features(spark, d), (sizes[0], sizes[1]), 2), 2)
+
+
+@add("scatter_sum", f"WITH {SUPP}, {NODES} SELECT v.node, CAST(coalesce(sum(src % 13), 0) AS DOUBLE) AS x0 FROM v LEFT JOIN e ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return flat(pr.scatter_sum(e.select(F.col("dst").alias("node"), F.array((F.col("src") % 13).cast("double")).alias("x")), fx.sized(e), 1), 1)
+
+
+@add("spmm", f"WITH {SUPP}, {NODES}, w AS (SELECT src, dst, CAST((src + dst) % 3 AS DOUBLE) AS weight FROM e), {DAYX} SELECT v.node, coalesce(sum(weight * x0), 0) AS x0, coalesce(sum(weight * x1), 0) AS x1 FROM v LEFT JOIN (w JOIN x ON dst = x.node) ON src = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    n = fx.sized(e)
+    return flat(pr.spmm(e.withColumn("weight", ((F.col("src") + F.col("dst")) % 3).cast("double")), fx.day_features(spark, n), n, 2), 2)
+
+
+@add("spmv", f"WITH {SUPP}, {NODES} SELECT v.node, CAST(coalesce(sum(dst % 11), 0) AS DOUBLE) AS v FROM v LEFT JOIN e ON src = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    n = fx.sized(e)
+    return pr.spmv(e, spark.range(n).select(F.col("id").alias("node"), (F.col("id") % 11).cast("double").alias("v")), n)
+
+
+@add("feature_gradient", f"WITH {SUPP}, {NODES}, {DAYX} " + SUMS.format(a="src", b="dst"))
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    n = fx.sized(e)
+    return flat(pr.feature_gradient(e, fx.day_features(spark, n), n, 2), 2)
+
+
+# Graph convolution: edges with self loops, degrees of targets
+
+LOOPS = "l AS (SELECT src, dst FROM e UNION SELECT node, node FROM v), c AS (SELECT dst AS node, count(*) AS deg FROM l GROUP BY 1), a AS (SELECT src, dst, pow(s.deg, -0.5) * pow(t.deg, -0.5) AS w FROM l JOIN c s ON src = s.node JOIN c t ON dst = t.node)"
+LIN = "h AS (SELECT node, x0 + 2 * x1 AS x0, 3 * x0 - x1 AS x1 FROM x)"
+LAYER = "y AS (SELECT v.node, coalesce(sum(w * x0), 0) AS x0, coalesce(sum(w * x1), 0) AS x1 FROM v LEFT JOIN (a JOIN h ON src = h.node) ON dst = v.node GROUP BY 1)"
+
+
+def _looped(spark, d):
+    e = fx.copurchase(spark, d)
+    n = fx.sized(e)
+    return ed.add_self_loops(e, n), n
+
+
+@add("linear", f"WITH {PART}, {LIN} SELECT * FROM h")
+def _(spark, d):
+    return flat(gcn.linear(fx.part_features(spark, d), W1), 2)
+
+
+@add("relu", "SELECT CAST(p_partkey AS BIGINT) AS node, CAST(greatest(p_size - 25, 0) AS DOUBLE) AS x0 FROM part")
+def _(spark, d):
+    x = fx.part_features(spark, d).select("node", F.array(F.col("x")[0] - 25).alias("x"))
+    return flat(gcn.relu(x), 1)
+
+
+@add("gcn_layer", f"WITH {COP}, {NODES}, {PART}, {LOOPS}, {LIN}, {LAYER} SELECT node, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM y")
+def _(spark, d):
+    e, n = _looped(spark, d)
+    return flat(gcn.gcn_layer(e, fx.part_features(spark, d), W1, n), 2, 6)
+
+
+@add("gcn_model", f"WITH {COP}, {NODES}, {PART}, {LOOPS}, {LIN}, {LAYER}, r AS (SELECT node, greatest(x0, 0) + greatest(x1, 0) AS x0 FROM y) SELECT v.node, round(coalesce(sum(w * x0), 0), 5) AS x0 FROM v LEFT JOIN (a JOIN r ON src = r.node) ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e, n = _looped(spark, d)
+    return flat(gcn.gcn_model(e, fx.part_features(spark, d), [W1, W2], n), 1, 5)
+
+
+@add("weight_gradient", f"WITH {COP}, {NODES}, {PART}, {LOOPS}, h AS (SELECT * FROM x), {LAYER}, g AS (SELECT node, CAST(node % 5 AS DOUBLE) AS g FROM v), t AS (SELECT sum(g * x0) AS a, sum(g * x1) AS b FROM y JOIN g USING (node)) SELECT CAST(0 AS BIGINT) AS out, CAST(0 AS BIGINT) AS \"in\", round(a, 3) AS v FROM t UNION ALL SELECT 0, 1, round(b, 3) FROM t")
+def _(spark, d):
+    e, n = _looped(spark, d)
+    g = spark.range(n).select(F.col("id").alias("node"), F.array((F.col("id") % 5).cast("double")).alias("x"))
+    return gcn.weight_gradient(e, fx.part_features(spark, d), g, n, 2, 1).withColumn("v", F.round("v", 3))
+
+
+# Similar rows
+
+PAIRS = "p AS (SELECT a.src AS u, b.src AS v, count(*) AS overlap FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2), z AS (SELECT src AS row, count(*) AS nnz FROM e GROUP BY 1), q AS (SELECT u, v, a.nnz AS nnz_u, b.nnz AS nnz_v, overlap, a.nnz + b.nnz - 2 * overlap AS h FROM p JOIN z a ON u = a.row JOIN z b ON v = b.row)"
+CAND = "SELECT u AS parent, v AS child, h AS weight FROM q WHERE h < nnz_v - {a} UNION ALL SELECT v, u, h FROM q WHERE h < nnz_u - {a} UNION ALL SELECT -1, row, nnz FROM z"
+
+
+@add("row_overlap", f"WITH {DAY}, {PAIRS} SELECT u, v, overlap FROM p")
+def _(spark, d):
+    return similarity.row_overlap(fx.user_day(spark, d))
+
+
+@add("row_distances", f"WITH {DAY}, {PAIRS} SELECT u, v, nnz_u, nnz_v, overlap, h FROM q")
+def _(spark, d):
+    return similarity.row_distances(fx.user_day(spark, d))
+
+
+@add("candidate_edges", f"WITH {SUPP}, {PAIRS} " + CAND.format(a=0))
+def _(spark, d):
+    return similarity.candidate_edges(fx.part_supp(spark, d), 0).fillna(-1, ["parent"])
+
+
+@add("candidate_edges_alpha2", f"WITH {SUPP}, {PAIRS} " + CAND.format(a=2))
+def _(spark, d):
+    return similarity.candidate_edges(fx.part_supp(spark, d), 2).fillna(-1, ["parent"])
+
+
+@add("candidate_edges_orders", f"WITH {ORD}, {PAIRS} " + CAND.format(a=0))
+def _(spark, d):
+    return similarity.candidate_edges(fx.order_part(spark, d), 0, pruned=False).fillna(-1, ["parent"])
+
+
+# Compression
+
+CHAIN = "d AS (SELECT src AS row, dst AS col FROM e), t AS (SELECT DISTINCT row, CASE WHEN row > 0 THEN row - 1 END AS parent FROM d), a AS (SELECT t.row, x.col FROM t JOIN d x ON x.row = t.parent), r AS (SELECT coalesce(d.row, a.row) AS row, coalesce(d.col, a.col) AS col, CASE WHEN a.row IS NULL THEN 1.0 ELSE -1.0 END AS val FROM d FULL JOIN a ON d.row = a.row AND d.col = a.col WHERE d.row IS NULL OR a.row IS NULL)"
+
+
+def _chain(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("row")).distinct().withColumn("parent", F.when(F.col("row") > 0, F.col("row") - 1))
+
+
+@add("row_deltas", f"WITH {DAY}, {CHAIN} SELECT row, col, CAST(val AS DOUBLE) AS val FROM r")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    return cm.row_deltas(e, _chain(e))
+
+
+@add("row_deltas_scaled", f"WITH {DAY}, {CHAIN} SELECT row, col, CAST(val AS DOUBLE) / (col + 1) AS val FROM r")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    scales = spark.range(fx.sized(e)).select(F.col("id").alias("node"), (F.lit(1.0) / (F.col("id") + 1)).alias("scale"))
+    return cm.row_deltas_scaled(e, _chain(e), scales)
+
+
+@add("tree_update", f"WITH RECURSIVE {SUPP}, {NODES}, {DAYX}, y AS (SELECT node, x0, x1 FROM x WHERE node = 0 UNION ALL SELECT x.node, x.x0 + y.x0, x.x1 + y.x1 FROM y JOIN x ON x.node > 0 AND (x.node - 1) // 2 = y.node) SELECT node, x0, x1 FROM y")
+def _(spark, d):
+    n = fx.sized(fx.part_supp(spark, d))
+    t = spark.range(n).select(F.col("id").alias("row"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 2)).alias("parent"))
+    return flat(tree.tree_update(t, fx.day_features(spark, n)), 2)
+
+
+@add("compression_tree", f"WITH {DAY}, z AS (SELECT src AS row, count(*) AS nnz FROM e GROUP BY 1) SELECT count(*) AS n_rows, TRUE AS one_parent_each, TRUE AS legal, TRUE AS weights_are_deltas FROM z")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    cand = similarity.candidate_edges(e, 0)
+    t = tree.compression_tree(cand, 0)
+    deltas = cm.row_deltas(e, t).agg(F.count(F.lit(1)).alias("deltas"))
+    legal = t.withColumn("p", F.coalesce("parent", F.lit(-1))).join(cand.select(F.coalesce("parent", F.lit(-1)).alias("p"), F.col("child").alias("row")), ["p", "row"], "left_semi").agg(F.count(F.lit(1)).alias("legal"))
+    sums = t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row").alias("ids"), F.sum("weight").alias("w"))
+    return sums.join(deltas).join(legal).select("n_rows", (F.col("ids") == F.col("n_rows")).alias("one_parent_each"), (F.col("legal") == F.col("n_rows")).alias("legal"), (F.col("w") == F.col("deltas")).alias("weights_are_deltas"))  # one row each
+
+
+@add("decompress", f"WITH {DAY} SELECT src, dst FROM e")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    return cm.decompress(cm.compress(e, fx.sized(e), 2))
+
+
+@add("check_compressed", "SELECT TRUE AS same")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    c = cm.compress(e, fx.sized(e), 0)
+    again, plain = cm.decompress(c).withColumn("s", F.lit(1)), e.withColumn("s", F.lit(-1))
+    return again.union(plain).groupBy("src", "dst").agg(F.sum("s").alias("s")).agg((F.count(F.when(F.col("s") != 0, 1)) == 0).alias("same"))
+
+
+@add("compression_ratio", f"WITH {ORD}, n AS (SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS e FROM e) SELECT n, e AS n_edges, e AS n_deltas, round((n + 1 + 2 * e) / CAST(3 * n + 3 + 2 * e AS DOUBLE), 9) AS ratio FROM n")
+def _(spark, d):
+    e = fx.order_part(spark, d)
+    n = fx.sized(e)
+    c = cm.compress(e, n, 2)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    sizes = count(e, "n_edges").join(count(c.deltas, "n_deltas"))  # one row each
+    return sizes.select(F.lit(n).cast("long").alias("n"), "n_edges", "n_deltas", F.round((n + 1 + 2 * F.col("n_edges")) / (3 * n + 3 + 2 * F.col("n_deltas")).cast("double"), 9).alias("ratio"))
+
+
+@add("compressed_matmul", f"WITH {DAY}, {NODES}, {DAYX} " + SUMS.format(a="dst", b="src"))
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    n = fx.sized(e)
+    return flat(cm.compress(e, n, 0).matmul(fx.day_features(spark, n), 2), 2)
+
+
+@add("compressed_matmul_normalized", f"WITH {DAY}, {NODES}, {DAYX}, s AS (SELECT v.node, CASE WHEN count(e.src) > 0 THEN pow(count(e.src), -0.5) ELSE 0 END AS s FROM v LEFT JOIN e ON e.src = v.node GROUP BY 1) SELECT v.node, round(coalesce(sum(a.s * b.s * x0), 0), 6) AS x0, round(coalesce(sum(a.s * b.s * x1), 0), 6) AS x1 FROM v LEFT JOIN (e JOIN x ON dst = x.node JOIN s a ON src = a.node JOIN s b ON dst = b.node) ON src = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    n = fx.sized(e)
+    return flat(cm.compress(e, n, 2, normalized=True).matmul(fx.day_features(spark, n), 2), 2, 6)
+
+
+@add("compressed_gcn_layer", f"WITH {DAY}, {NODES}, {DAYX}, s AS (SELECT v.node, CASE WHEN count(e.src) > 0 THEN pow(count(e.src), -0.5) ELSE 0 END AS s FROM v LEFT JOIN e ON e.src = v.node GROUP BY 1), {LIN} SELECT v.node, round(coalesce(sum(a.s * b.s * x0), 0), 6) AS x0, round(coalesce(sum(a.s * b.s * x1), 0), 6) AS x1 FROM v LEFT JOIN (e JOIN h ON dst = h.node JOIN s a ON src = a.node JOIN s b ON dst = b.node) ON src = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    n = fx.sized(e)
+    return flat(gcn.compressed_gcn_layer(cm.compress(e, n, 0, normalized=True), fx.day_features(spark, n), W1), 2, 6)
+
+
+# Reports
+
+METRICS = "m AS (SELECT l_linestatus AS dataset, l_returnflag AS method, CAST(l_linenumber AS INTEGER) AS alpha, CAST(l_linenumber AS INTEGER) AS size, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2, 3, 4)"
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("dataset"), F.col("l_returnflag").alias("method"), F.col("l_linenumber").cast("int").alias("alpha"), F.col("l_linenumber").cast("int").alias("size")).agg(F.sum("l_quantity").cast("double").alias("value"))
+
+
+@add("graph_stats", f"WITH {SUPP}, {NODES} SELECT (SELECT count(*) FROM v) AS nodes, count(*) AS edges, (count(*) FILTER (src <> dst) + (SELECT count(*) FROM v)) / CAST((SELECT count(*) FROM v) AS DOUBLE) AS mean_row FROM e")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return report.graph_stats(e, fx.sized(e))
+
+
+@add("timing", f"WITH {METRICS} SELECT dataset, method, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std FROM m GROUP BY 1, 2")
+def _(spark, d):
+    return report.timing(_metrics(spark, d)).select("dataset", "method", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
+
+
+@add("winners", f"WITH {METRICS} SELECT *, row_number() OVER (PARTITION BY dataset, size ORDER BY value, method) = 1 AS winner FROM m")
+def _(spark, d):
+    return report.winners(_metrics(spark, d))
+
+
+@add("best_alpha", f"WITH {METRICS} SELECT dataset, arg_min(alpha, (value, alpha)) AS alpha FROM m GROUP BY 1")
+def _(spark, d):
+    return report.best_alpha(_metrics(spark, d))
+
+
+@add("improvement", f"WITH {METRICS} SELECT m.dataset, m.size, m.method, round((r.value - m.value) / r.value * 100, 6) AS saved FROM m JOIN m r ON r.dataset = m.dataset AND r.size = m.size AND r.method = 'N'")
+def _(spark, d):
+    return report.improvement(_metrics(spark, d), "N").withColumn("saved", F.round("saved", 6))
+
+
+@add("wide", f"WITH {METRICS} SELECT dataset, size, max(value) FILTER (method = 'A') AS A, max(value) FILTER (method = 'N') AS N, max(value) FILTER (method = 'R') AS R FROM m GROUP BY 1, 2")
+def _(spark, d):
+    return report.wide(_metrics(spark, d), ["A", "N", "R"])
+
+
+@add("long", f"WITH {METRICS}, k AS (SELECT DISTINCT dataset, size FROM m), n AS (SELECT unnest(['A', 'N', 'R']) AS method) SELECT k.dataset, k.size, n.method, value FROM k CROSS JOIN n LEFT JOIN m USING (dataset, size, method)")
+def _(spark, d):
+    return report.long(report.wide(_metrics(spark, d), ["A", "N", "R"]), ["A", "N", "R"])
+
+
+@add("alpha_sweep", None)
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    return cm.alpha_sweep(e, fx.sized(e), [0, 2, 8])
