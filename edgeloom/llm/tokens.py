@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,30 +12,51 @@ import numpy as np
 #: White space on which Python and the tokenizers may differ; texts with any of
 #: it go to the library whole.
 _ODD = re.compile("[\x1c-\x1f\x85\u180e]")
-_WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A run of Latin letters is cut off where ASCII that is no letter, digit or
+#: underscore follows: both tokenizers split there, and nothing composes across.
+_LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]|\Z)"
+_WITH_SPACE = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s+")
+_WITHOUT_SPACE = re.compile(rf"{_LETTERS}|\S+")
+_WORD = re.compile(rf" ?{_LETTERS}")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin bytes as themselves and the
+    others, in order, as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordTokenizer:
     """Ids of a public tokenizer file, as the library gives for the whole text.
 
     Neither tokenizer ever joins characters across the places where a text is
-    cut here (before a single space, or at white space), so the ids of a text
-    are those of its cuts in order. Cuts are encoded by the library once and
-    kept, at most ``capacity`` of them; longer cuts than 64 are not kept.
-    Strings of special tokens in a text are ordinary text.
+    cut here (at white space, before a single space, after a run of letters), so
+    the ids of a text are those of its cuts in order. Each cut is encoded by the
+    library once and kept; beyond ``capacity`` the long ones are let go, and
+    cuts longer than 64 are never kept. Strings of special tokens in a text are
+    ordinary text.
     """
 
-    def __init__(self, path: str, capacity: int = 600_000) -> None:
+    def __init__(self, path: str, capacity: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.cut = str.split if self.lib.normalizer is not None else _WITH_SPACE.findall
+        self.lower = self.lib.normalizer is not None
+        self.cut = (_WITHOUT_SPACE if self.lower else _WITH_SPACE).findall
         self.capacity, self.kept = capacity, {}
+        self.letters = _byte_letters()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a run of letters, which is one piece to the library's model."""
+        piece = (word.lower() if self.lower else word).encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.lib.model.tokenize(piece)]).tobytes()
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; of a null text: none."""
@@ -43,15 +65,20 @@ class WordTokenizer:
         if _ODD.search(text):
             return self._library([text])[0]
         cuts, kept = self.cut(text), self.kept
-        try:
-            return b"".join(map(kept.__getitem__, cuts))
-        except KeyError:
-            pass
-        new = [x for x in set(cuts) if x not in kept]
+        new = set(cuts).difference(kept)
         if len(kept) + len(new) > self.capacity:
-            kept.clear()
-            new = list(set(cuts))
-        kept.update(zip(new, self._library(new), strict=True))
+            kept = self.kept = {k: v for k, v in kept.items() if len(k) <= 8} if len(kept) <= self.capacity else {}
+            if len(kept) > self.capacity // 2:
+                kept.clear()
+            new = set(cuts).difference(kept)
+        other = []
+        for x in new:
+            if _WORD.fullmatch(x):
+                kept[x] = self._word(x)
+            else:
+                other.append(x)
+        if other:
+            kept.update(zip(other, self._library(other), strict=True))
         ids = b"".join(map(kept.__getitem__, cuts))
         for x in new:
             if len(x) > 64:
