@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, max_tokens: int = 1024, se
         if held:
             yield solve(True)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return map_batches(ordered, run, SCHEMA)
 
 

@@ -139,7 +139,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, width: int = 8, blo
         if names:
             yield made()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(map_batches(ordered, run, STORE), "tokens")
 
 
