@@ -15,13 +15,13 @@ that many rows share is rebuilt once. Rebuilding streams chunk by chunk.
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +84,7 @@ def recipes(docs: DataFrame) -> DataFrame:
     return materialize(map_batches(docs.select("doc_id", "text"), run, RECIPE), "recipes")
 
 
-def write_chunks(docs: DataFrame, level: int = 6, known: DataFrame | None = None) -> DataFrame:
+def write_chunks(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Store each chunk of ``docs`` once; returns the store (digest, packed), bucketed by digest.
 
     ``known`` may be an earlier store; chunks that it has are not stored again.
@@ -94,13 +94,12 @@ def write_chunks(docs: DataFrame, level: int = 6, known: DataFrame | None = None
 
     def cut(batches: Iterator) -> Iterator[dict]:
         seen: set[bytes] = set()
-        pack = zstandard.ZstdCompressor(level=level)
         for batch in rows(batches):
             new = {}
             for t in batch["text"].to_pylist():
                 new.update(x for x in chunks_of(to_media(t)[1]) if x[0] not in seen)
             seen.update(new)
-            yield {"digest": list(new), "packed": [pack.compress(x) for x in new.values()]}
+            yield {"digest": list(new), "packed": [bz2.compress(x) for x in new.values()]}
 
     def once(batches: Iterator) -> Iterator[dict]:
         seen: set[bytes] = set()
@@ -134,7 +133,6 @@ def rebuild(recipe: DataFrame, store: DataFrame) -> DataFrame:
     parts = store.join(wanted.hint("shuffle_hash"), "digest", "right").select("media", "media_bytes", "seq", "packed")
 
     def run(batches: Iterator) -> Iterator[dict]:
-        unpack = zstandard.ZstdDecompressor()
         now, state = None, None
 
         def begin(media: bytes, size: int) -> dict:
@@ -178,7 +176,7 @@ def rebuild(recipe: DataFrame, store: DataFrame) -> DataFrame:
                     now, state = media, begin(media, size)
                 if packed is None:
                     raise ValueError("a chunk is missing from the store")
-                feed(state, unpack.decompress(packed))
+                feed(state, bz2.decompress(packed))
             if out:
                 yield dict(zip(names, zip(*out, strict=True), strict=True))
         if state:
