@@ -107,7 +107,7 @@ def suffix_order(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text[ends] = np.arange(len(pieces))
     rank, step = text, 1
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         new = np.empty(n, dtype=np.int64)
         new[order] = np.concatenate([[0], np.cumsum(np.diff(rank[order]) != 0)])
         if new[order[-1]] == n - 1:
@@ -132,30 +132,34 @@ def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) ->
     sizes = [len(o) for o, _ in shards]
     base = np.cumsum(sizes) - sizes
     symbols = np.concatenate([s for _, s in shards])
-    who = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    pieces = np.array([int((s == 0).sum()) for _, s in shards])
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), pieces)
+    used = np.unique(symbols)
+    if len(used) <= 256:  # narrow symbols are dealt in one pass
+        symbols = np.searchsorted(used, symbols).astype(np.uint8)
+    # each shard's reading order: the row of the suffix that is one symbol longer
+    longer = np.empty(len(symbols), dtype=np.int32)
+    ends = []
+    for (_, s), b in zip(shards, base, strict=True):
+        longer[b + np.argsort(s, kind="stable")] = b + np.arange(len(s))
+        ends.append(b + np.arange(int((s == 0).sum())))
+    ends = np.concatenate(ends).astype(np.int32)
     m = len(ends)
-    block = np.zeros(len(who), dtype=np.int64)
+    # the interleave: at each place, the row of the shard that stands there
+    at, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), dtype=np.int32)
+    fresh = np.ones(len(symbols), dtype=bool)
     for _ in range(depth):
-        taken = np.argsort(who, kind="stable")
-        ahead = np.empty_like(symbols)
-        ahead[taken] = symbols  # each shard's transform, read in turn
+        ahead = symbols[at]
         order = np.argsort(ahead, kind="stable")[m:]
         was, sym = block[order], ahead[order]
-        fresh = np.ones(len(who), dtype=bool)
         fresh[m + 1 :] = (sym[1:] != sym[:-1]) | (was[1:] != was[:-1])
-        who = np.concatenate([ends, who[order]])
-        block = np.cumsum(fresh)
+        at = np.concatenate([ends, longer[at[order]]])
+        block = np.cumsum(fresh, dtype=np.int32)
         if fresh.all():  # no two suffixes agree further
             break
-    taken = np.argsort(who, kind="stable")
-    places = np.empty(len(who), dtype=np.int64)
-    places[taken] = np.concatenate([o + b for (o, _), b in zip(shards, base, strict=True)])
-    return places, block
+    places = np.concatenate([o + b for (o, _), b in zip(shards, base, strict=True)])
+    return places[at], block
 
 
-def repeated_strings(pieces: list[tuple[int, int, bytes]], length: int, shard_bytes: int = 1 << 16) -> list[tuple[int, int]]:
+def repeated_strings(pieces: list[tuple[int, int, bytes]], length: int, shard_bytes: int = 1 << 14) -> list[tuple[int, int]]:
     """(doc_id, place) of every string of ``length`` bytes in the pieces
     (doc_id, start, bytes) that an earlier place also has."""
     shards, now, size = [], [], 0
@@ -202,7 +206,7 @@ def _runs(found: list[tuple[int, int]], length: int) -> dict[str, list]:
 SPANS = "doc_id long, a long, b long"
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, merge_bytes: int = 1 << 20, most: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, merge_bytes: int = 1 << 17, most: int = 20_000) -> DataFrame:
     """doc_id, a, b: byte spans [a, b) that strings cover which also start earlier.
 
     Spans may overlap. Documents with a null doc_id take no part; null texts are
@@ -212,7 +216,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, merge_byt
         raise ValueError("gram must be a power of two, at most length")
     everything = materialize(_all_stretches(docs, length, gram), "stretches")
     common = materialize(everything.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("anchor"), "anchors")
-    shared = materialize(semi_join(everything, common, ["anchor"]), "shared")
+    shared = materialize(semi_join(everything, common, ["anchor"], limit=0), "shared")  # one way at every size
     forget(everything, common)
     same = ["anchor", "digest", "n"]
     kinds = materialize(shared.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("size")), "kinds")
@@ -272,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, merge_byt
     return materialize(whole.union(merged).union(split), "spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, merge_bytes: int = 1 << 20, most: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, merge_bytes: int = 1 << 17, most: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) for every row of ``docs``.
 
     Null and empty texts have 0 bytes; texts under ``length`` bytes lose none;
