@@ -352,3 +352,31 @@ def test_probabilities_of_a_next_token_sum_to_at_most_one():
                 s += np.log(rare[w])
             total += np.exp(s)
         assert 0.2 < total <= 1 + 1e-9, past
+
+
+def test_contexts_of_all_words_are_counted_apart(spark):
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choices("abcd", k=3) + [f"w{rng.randrange(400)}" if rng.random() < 0.6 else rng.choice("abcd") for _ in range(60)])) for k in range(120)]
+    words = {w.encode(): k for k, w in enumerate("abcd")} | {scoring.END: 4}
+    counts = {}
+    for k, t in texts:
+        t = scoring.tokens_of(t)
+        for i, w in enumerate(t):
+            if zlib.crc32(str(k).encode()) % 7 != 2 and w not in t[:i]:
+                for context in (tuple(t[max(i - 1, 0) : i]), (*t[max(i - 2, 0) : i], "two")):
+                    counts.setdefault(context, [0, 0])[w not in words] += 1
+    batches = scoring.materialize(scoring.dealt(table(spark, texts), 7, 2), "batches")
+    found = {r.batch: [x.asDict() for x in r.found] for r in scoring.context_counts(batches, words, 300).collect()}
+    checked = set()
+    for r in batches.collect():
+        flat = [(t, i) for t in map(scoring.tokens_of, r.text) for i in range(len(t))]
+        b = scoring.decisions([scoring.tokens_of(t) for t in r.text], words)
+        number, narrow, wide = scoring.numbered(b)
+        x = scoring.predictions_of(narrow, wide, found[r.batch], 300)
+        for at, (t, i) in enumerate(flat):
+            if b.has[2][at] and t[i] not in t[:i]:
+                for c, context in ((1, tuple(t[max(i - 1, 0) : i])), (2, (*t[max(i - 2, 0) : i], "two"))):
+                    zeros, ones = counts.get(context, (0, 0))
+                    assert abs(x[2][c][number[2, c, at]] - np.log((ones + 0.4) / (zeros + 0.4))) < 1e-9, context
+                    checked.add(context)
+    assert len(checked) > 2000
