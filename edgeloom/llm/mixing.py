@@ -54,12 +54,13 @@ def tempered(cells: DataFrame, margin: str, power: float) -> Column:
     return F.pow(F.sum("tokens").over(level).cast("double"), F.lit(power)) / F.count(F.lit(1)).over(level)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 10) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 10, goals: bool = False) -> DataFrame:
     """Adds ``weight``: raked shares of ``cells`` (source, lang, topic, tokens), summing to about 1.
 
     ``targets`` gives shares by margin and level; a margin without targets takes
     natural shares to ``power``. Levels that no cell has are left out and the
-    rest scaled up; cells of unlisted levels get weight 0.
+    rest scaled up; cells of unlisted levels get weight 0. ``goals`` adds the
+    targets as goal_source, goal_lang and goal_topic.
     """
     targets = targets or {}
     for m in MARGINS:
@@ -81,7 +82,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
         if k % 5 == 4:
             cells = materialize(cells, "rake")
             cells = cells.coalesce(1) if k + 1 < rounds and cells.count() <= SMALL else cells
-    return cells.select(*MARGINS, "tokens", "weight")
+    return cells.select(*MARGINS, "tokens", "weight", *([f"goal_{m}" for m in MARGINS] if goals else []))
 
 
 def probabilities(cells: DataFrame, fraction: float, rounds: int = 4) -> DataFrame:
@@ -100,25 +101,88 @@ def probabilities(cells: DataFrame, fraction: float, rounds: int = 4) -> DataFra
     return cells.select(*MARGINS, p.alias("probability"))
 
 
+def _filled(by: str, value: str, bound: str, goal: str) -> Column:
+    """For each cell of a level, the factor f that meets ``goal`` if the cells of lower ratios are full and no others; and its ratio of bound to value."""
+    ratio = F.when(F.col(value) > 0, F.col(bound) / F.col(value)).otherwise(0.0)
+    in_order = W.partitionBy(by).orderBy(ratio, *MARGINS).rowsBetween(W.unboundedPreceding, W.currentRow)
+    taken = F.sum(bound).over(in_order) - F.col(bound)
+    left = F.sum(value).over(in_order.orderBy(ratio.desc(), *[F.desc(m) for m in MARGINS]))
+    return F.struct(F.when(left > 0, (F.col(goal) - taken) / left).alias("f"), ratio.alias("ratio"))
+
+
+def _raised(cells: DataFrame, by: str, value: str, bound: str, goal: str) -> DataFrame:
+    """``value`` times the level's factor f for which least(bound, f * value) sums to ``goal``.
+
+    Where all bounds together are less than the goal, the factor that meets every bound.
+    """
+    level = W.partitionBy(by)
+    cells = cells.withColumn("fill", _filled(by, value, bound, goal))
+    factor = F.coalesce(F.max(F.when(F.col("fill.f") <= F.col("fill.ratio"), F.greatest(F.col("fill.f"), F.lit(0.0)))).over(level), F.max("fill.ratio").over(level))
+    return cells.withColumn(value, F.col(value) * factor).drop("fill")
+
+
+def bounded(cells: DataFrame, fraction: float, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, rounds: int = 30) -> DataFrame:
+    """Adds ``probability``, raked with its bound of 1 inside the loop, and ``goal_*`` shares of the drawn tokens.
+
+    A cell's weight is the least of its bound, tokens / (``fraction`` * all
+    tokens), and a product of one factor a margin; a step sets a margin's factors
+    so that the bounded weights meet its goals, with open cells taking what full
+    ones cannot give. Levels that have too few tokens for their goal give all
+    they have (``reach_*``), and the margin's other goals rise alike.
+    """
+    cells = rake(cells, targets, power, 0, goals=True).withColumn("one", F.lit(1))
+    total = cells.groupBy("one").agg(F.sum("tokens").alias("all"))
+    cells = cells.join(F.broadcast(total), "one").withColumn("bound", F.col("tokens") / (F.lit(fraction) * F.col("all")))  # one row
+    for m in MARGINS:
+        level = W.partitionBy(m)
+        cells = cells.withColumn("supply", F.sum("bound").over(level))
+        cells = cells.withColumn("first", F.row_number().over(level.orderBy(*MARGINS)) == 1)
+        # one row of a level stands for it: the others have neither value nor bound
+        cells = cells.withColumns({"level_value": F.when(F.col("first"), F.col(f"goal_{m}")).otherwise(0.0), "level_bound": F.when(F.col("first"), F.col("supply")).otherwise(0.0), "whole": F.lit(1.0)})
+        cells = _raised(cells, "one", "level_value", "level_bound", "whole")
+        cells = cells.withColumn(f"reach_{m}", F.max(F.least("level_value", "level_bound")).over(level))
+    cells = materialize(cells.drop("supply", "first", "level_value", "level_bound", "whole"), "goals")
+    few = cells.limit(SMALL + 1).count() <= SMALL
+    for k in range(rounds):
+        cells = cells.coalesce(1) if few and k % 2 == 0 else cells
+        for m in MARGINS[::-1]:  # the last one raked, source, is met best
+            cells = _raised(cells, m, "weight", "bound", f"reach_{m}")
+        cells = materialize(cells, "rake") if k % 2 else cells
+    p = F.least(F.lit(1.0), F.col("weight") / F.col("bound"))
+    return cells.select(*MARGINS, "tokens", p.alias("probability"), *[f"goal_{m}" for m in MARGINS], *[f"reach_{m}" for m in MARGINS])
+
+
+def shares(cells: DataFrame) -> DataFrame:
+    """margin, level, goal, reach (the goal that its tokens allow) and achieved share, from ``bounded`` cells."""
+    drawn_ = F.col("tokens") * F.col("probability")
+    every = cells.agg(F.sum(drawn_).alias("every"))
+    parts = [cells.groupBy(F.lit(m).alias("margin"), F.col(m).alias("level")).agg(F.max(f"goal_{m}").alias("goal"), F.max(f"reach_{m}").alias("reach"), F.sum(drawn_).alias("drawn")) for m in MARGINS]
+    made = parts[0].unionAll(parts[1]).unionAll(parts[2]).crossJoin(F.broadcast(every))
+    return made.select("margin", "level", "goal", "reach", (F.col("drawn") / F.col("every")).alias("achieved"))
+
+
 def draw(seed: int) -> Column:
     """A number in 0 to 1 that depends on the doc_id alone."""
     digest = F.md5(F.concat(F.lit(f"{seed}/"), id_text()).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, fraction: float = 0.8, seed: int = 7, rounds: int = 10) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, fraction: float = 0.8, seed: int = 7, rounds: int = 10, within: bool = False) -> DataFrame:
     """Adds mix_source, mix_lang, mix_topic, mix_tokens, probability and sampled to ``docs``.
 
     ``docs`` has doc_id, text, lang and source. A document's draw depends on its
     id alone (columns of these names are replaced), so repeated rows are drawn together; a null id draws as the empty
     text. Null sources and languages are a level of their own. No rows give no
-    rows.
+    rows. ``within`` rakes with the bound inside the loop (``bounded``, ``rounds``
+    as there): goals are met as far as tokens reach, which cutting the raked
+    weights to 1 afterwards does not.
     """
     known = with_tokens_and_topic(docs.drop("probability", "sampled"))
     by = known.groupBy(*[F.col(f"mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("mix_tokens").alias("tokens"))
     cells = materialize(by, "cells")
     few = cells.limit(SMALL + 1).count() <= SMALL
-    cells = materialize(probabilities(rake(cells.coalesce(1) if few else cells, targets, power, rounds), fraction), "mix")
+    cells = cells.coalesce(1) if few else cells
+    cells = materialize(bounded(cells, fraction, targets, power, rounds) if within else probabilities(rake(cells, targets, power, rounds), fraction), "mix")
     cells = cells.select(*[F.col(m).alias(f"mix_{m}") for m in MARGINS], "probability")
     out = known.join(F.broadcast(cells) if few else cells, [f"mix_{m}" for m in MARGINS])
     return out.withColumn("sampled", draw(seed) < F.col("probability"))

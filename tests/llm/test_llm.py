@@ -380,3 +380,25 @@ def test_contexts_of_all_words_are_counted_apart(spark):
                     assert abs(x[2][c][number[2, c, at]] - np.log((ones + 0.4) / (zeros + 0.4))) < 1e-9, context
                     checked.add(context)
     assert len(checked) > 2000
+
+
+def test_raking_within_bounds_meets_the_margins(spark):
+    tokens_ = {("a", "x", "p"): 4000, ("a", "x", "q"): 1500, ("a", "y", "p"): 900, ("a", "y", "q"): 1200, ("b", "x", "p"): 700, ("b", "x", "q"): 300, ("b", "y", "p"): 500, ("b", "y", "q"): 900}
+    cells = spark.createDataFrame([(*k, n) for k, n in tokens_.items()], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.5, "q": 0.5}}
+    cut = {tuple(r)[:3]: r.probability for r in mixing.probabilities(mixing.rake(cells, targets), 0.55).collect()}
+    gaps = []
+    for i, m in enumerate(mixing.MARGINS):
+        for level, goal in targets[m].items():
+            gaps.append(abs(sum(n * cut[k] for k, n in tokens_.items() if k[i] == level) / sum(n * cut[k] for k, n in tokens_.items()) - goal))
+    assert max(gaps) > 0.01
+    within = mixing.materialize(mixing.bounded(cells, 0.55, targets), "within")
+    assert abs(sum(r.tokens * r.probability for r in within.collect()) / 10_000 - 0.55) < 1e-3
+    assert all(0 <= r.probability <= 1 for r in within.collect())
+    for r in mixing.shares(within).collect():
+        assert abs(r.goal - targets[r.margin][r.level]) < 1e-9 and abs(r.reach - r.goal) < 1e-9 and abs(r.achieved - r.goal) < 1e-3
+    # a level with too few tokens gives all it has; the margin's others rise alike
+    short = {r.level: r for r in mixing.shares(mixing.materialize(mixing.bounded(cells, 0.8, {"source": {"a": 0.5, "b": 0.5}}), "short")).collect() if r.margin == "source"}
+    assert abs(short["b"].achieved - 2400 / 8000) < 1e-3 and abs(short["a"].achieved - 0.7) < 1e-3 and short["a"].goal == 0.5
+    out = mixing.mix(table(spark, corpus()), within=True, rounds=4).collect()
+    assert len(out) == len(corpus()) and mixing.mix(table(spark, []), within=True, rounds=4).count() == 0
