@@ -402,3 +402,11 @@ def test_raking_within_bounds_meets_the_margins(spark):
     assert abs(short["b"].achieved - 2400 / 8000) < 1e-3 and abs(short["a"].achieved - 0.7) < 1e-3 and short["a"].goal == 0.5
     out = mixing.mix(table(spark, corpus()), within=True, rounds=4).collect()
     assert len(out) == len(corpus()) and mixing.mix(table(spark, []), within=True, rounds=4).count() == 0
+
+
+def test_chunks_of_an_earlier_store_are_not_stored_again(spark):
+    texts = corpus()
+    digests = lambda store: [bytes(r.digest) for r in store.select("digest").collect()]
+    early = media.write_chunks(table(spark, texts[:30]))
+    first, added, every = digests(early), digests(media.write_chunks(table(spark, texts), early)), digests(media.write_chunks(table(spark, texts)))
+    assert first and added and sorted(first + added) == sorted(every) and len(set(every)) == len(every)
