@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import components, embeddings, lines, media, minhash, mixing, packing, quality, repeats, scoring, token_store, tokens
+from edgeloom.llm import components, embeddings, lines, media, minhash, mixing, packing, quality, scoring, token_store, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, line int, n int, sampled string, component_id int"
 
@@ -222,50 +222,6 @@ def test_missing_chunk_raises(spark):
         media.rebuild(media.recipes(docs), media.write_chunks(docs).where("false")).collect()
 
 
-def brute_repeats(texts, n):
-    seen, out = set(), {}
-    for k, t in sorted((k, (t or "").encode()) for k, t in dict(texts).items() if k is not None):
-        gone = np.zeros(len(t), dtype=bool)
-        for i in range(len(t) - n + 1):
-            if t[i : i + n] in seen:
-                gone[i : i + n] = True
-            seen.add(t[i : i + n])
-        kept = bytes(np.frombuffer(t, dtype=np.uint8)[~gone])
-        out[k] = (len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), kept)
-    return out
-
-
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_repeats_match_brute_force(spark, most):
-    texts = corpus() + [(800, "ab" * 400), (801, "c" * 500)]
-    want = brute_repeats(texts, 100)
-    got = repeats.remove_repeats(table(spark, texts), merge_bytes=4096, most=most).collect()
-    assert len(got) == len(texts)
-    for r in got:
-        if r.doc_id is not None:
-            assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
-    assert sum(r.n_removed for r in got) > 1000
-    assert repeats.remove_repeats(table(spark, [])).count() == 0
-
-
-def test_merged_transforms_are_the_suffix_order():
-    rng = random.Random(8)
-    shards = [[bytes(rng.choices(b"ab\x00", k=rng.randint(1, 30))) for _ in range(5)] for _ in range(4)]
-    places, block = repeats.merge_transforms([repeats.suffix_order(s) for s in shards], 40)
-    pieces = [p for s in shards for p in s]
-    suffixes = [(p[i:], k) for k, p in enumerate(pieces) for i in range(len(p) + 1)]
-    order = [tuple([b + 1 for b in suffixes[p][0]] + [0]) for p in places]
-    assert sorted(places.tolist()) == list(range(len(suffixes))) and order == sorted(order)
-    assert len(set(block.tolist())) == len(block)
-
-
-def test_segments_of_long_texts(monkeypatch):
-    raw = bytes(random.Random(9).choices(b"abcd ", k=5000))
-    monkeypatch.setattr(repeats, "SEGMENT", 700)
-    tiles = sorted((s, n) for _, s, n in repeats.stretches(raw, 100, 32))
-    assert sum(n for _, n in tiles) == 4901 and all(a + n == b for (a, n), (b, _) in zip(tiles, tiles[1:]))
-
-
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
@@ -337,51 +293,6 @@ def test_scoring(spark):
     assert scoring.score_texts(table(spark, [])).count() == 0
 
 
-def test_probabilities_of_a_next_token_sum_to_at_most_one():
-    words = {w: k for k, w in enumerate([b"a", b"b", b"c", scoring.END])}
-    chance = np.array([0.3, 0.2, 0.1, 0.1])
-    rng = np.random.default_rng(5)
-    mixer = scoring.Mixer(words, chance, rng.normal(size=(scoring.KINDS, scoring.CONTEXTS, scoring.SLOTS)))
-    rare = {b"r1": 0.2, b"r2": 0.1}
-    for past in ([], [b"a"], [b"a", b"b", b"a"], [b"a", b"r1", b"a", b"c", b"r1"]):
-        before = mixer.score([past])[0] if past else 0.0
-        total = 0.0
-        for w in [*words, *rare]:
-            s = mixer.score([[*past, w]])[0] - before
-            if w in rare and w not in past:
-                s += np.log(rare[w])
-            total += np.exp(s)
-        assert 0.2 < total <= 1 + 1e-9, past
-
-
-def test_contexts_of_all_words_are_counted_apart(spark):
-    rng = random.Random(3)
-    texts = [(k, " ".join(rng.choices("abcd", k=3) + [f"w{rng.randrange(400)}" if rng.random() < 0.6 else rng.choice("abcd") for _ in range(60)])) for k in range(120)]
-    words = {w.encode(): k for k, w in enumerate("abcd")} | {scoring.END: 4}
-    counts = {}
-    for k, t in texts:
-        t = scoring.tokens_of(t)
-        for i, w in enumerate(t):
-            if zlib.crc32(str(k).encode()) % 7 != 2 and w not in t[:i]:
-                for context in (tuple(t[max(i - 1, 0) : i]), (*t[max(i - 2, 0) : i], "two")):
-                    counts.setdefault(context, [0, 0])[w not in words] += 1
-    batches = scoring.materialize(scoring.dealt(table(spark, texts), 7, 2), "batches")
-    found = {r.batch: [x.asDict() for x in r.found] for r in scoring.context_counts(batches, words, 300).collect()}
-    checked = set()
-    for r in batches.collect():
-        flat = [(t, i) for t in map(scoring.tokens_of, r.text) for i in range(len(t))]
-        b = scoring.decisions([scoring.tokens_of(t) for t in r.text], words)
-        number, narrow, wide = scoring.numbered(b)
-        x = scoring.predictions_of(narrow, wide, found[r.batch], 300)
-        for at, (t, i) in enumerate(flat):
-            if b.has[2][at] and t[i] not in t[:i]:
-                for c, context in ((1, tuple(t[max(i - 1, 0) : i])), (2, (*t[max(i - 2, 0) : i], "two"))):
-                    zeros, ones = counts.get(context, (0, 0))
-                    assert abs(x[2][c][number[2, c, at]] - np.log((ones + 0.4) / (zeros + 0.4))) < 1e-9, context
-                    checked.add(context)
-    assert len(checked) > 2000
-
-
 def test_raking_within_bounds_meets_the_margins(spark):
     tokens_ = {("a", "x", "p"): 4000, ("a", "x", "q"): 1500, ("a", "y", "p"): 900, ("a", "y", "q"): 1200, ("b", "x", "p"): 700, ("b", "x", "q"): 300, ("b", "y", "p"): 500, ("b", "y", "q"): 900}
     cells = spark.createDataFrame([(*k, n) for k, n in tokens_.items()], "source string, lang string, topic string, tokens long")
