@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +19,39 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where it is unset a temporary folder of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
+    Where the session has none, a temporary folder of the machine stands in, which
+    only a ``local`` master can share; on a cluster that raises.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; the writing job's shuffle files can go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they end."""
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, and lets Spark remove the
+    shuffle files of the job that wrote it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with without_shuffle_files(spark):
+        df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
