@@ -14,9 +14,12 @@ verified on the full shingle sets before they link.
 Scale: documents with equal sets are one row from the start. Within a bucket
 not all pairs are made: rounds compare everyone with the least member (a
 partial sum and a join that Spark can split), link what passes, and drop a
-bucket once its members are one component. Only pairs of different components
-that remain are compared one by one, by what is left in linear numbers.
-Shingle sets are kept only for documents that share a bucket.
+bucket once its members are one component. What is open after a few rounds is
+joined exactly, whatever its size, by the rarest shingles of each set: sets that
+reach the similarity share one of them (prefix and position filters; Bayardo et
+al. 2007, Xiao et al. 2008). Pages of one template that stay below the similarity
+have their own words among those, so they make no pairs. Shingle sets are kept
+only for documents that share a bucket.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, map_batches, materialize, read, rows, semi_join
@@ -80,7 +84,7 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set), band_keys."""
+    """doc_id, text_key, n_shingles, set_id (from a digest of the set), band_keys."""
     salt = np.arange(bands, dtype=np.uint64)
 
     def run(batches: Iterator) -> Iterator[dict]:
@@ -89,7 +93,7 @@ def signatures(docs: DataFrame, words: int, bands: int, per_band: int) -> DataFr
             for text in batch["text"].to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                key.append(_set_id(_set_key(s)))
                 if len(s):
                     c = sketch(s, bands * per_band).reshape(bands, per_band)
                     k = _mix(salt + _M[1])
@@ -98,17 +102,27 @@ def signatures(docs: DataFrame, words: int, bands: int, per_band: int) -> DataFr
                     keys.append(k.view(np.int64).tolist())
                 else:
                     keys.append([])
-            yield {"doc_id": batch["doc_id"], "n_shingles": n, "set_key": key, "band_keys": keys}
+            yield {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "n_shingles": n, "set_id": key, "band_keys": keys}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, band_keys array<long>")
+    named = docs.select("doc_id", "text", text_key().alias("text_key"))
+    return map_batches(named, run, "doc_id long, text_key long, n_shingles long, set_id long, band_keys array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator[dict]:
         for batch in rows(batches):
-            yield {"id": batch["doc_id"], "s": [shingles(t, words).view(np.int64) for t in batch["text"].to_pylist()]}
+            sets = [shingles(t, words) for t in batch["text"].to_pylist()]
+            yield {"id": [_set_id(_set_key(s)) for s in sets], "s": [s.view(np.int64) for s in sets]}
 
-    return map_batches(docs.select("doc_id", "text"), run, "id long, s array<long>")
+    return map_batches(docs.select("text"), run, "id long, s array<long>")
+
+
+def _set_key(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def _set_id(key: bytes | None) -> int | None:
+    return None if key is None else int.from_bytes(key[:8], "little", signed=True)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,39 +132,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("s1") + F.size("s2") - F.col("common"))).select("a", "b")
 
 
-def link_sets(docs: DataFrame, members: DataFrame, words: int, percent: int, star_rounds: int = 12) -> DataFrame:
-    """id, component of every document in ``members`` (bucket, id, n) that links.
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, with every pair of ``sets`` (id, s, component) of two components that may reach the similarity.
 
-    Every two documents that share a bucket end in one component if their full
-    sets reach the similarity, and no others do unless through such links.
+    Elements are in the order of how many sets have them, rarest first. Sets of
+    n <= m elements that reach t share c >= t / (1 + t) * (n + m) of them, so the
+    first they share is among the first n - c + 1 of one and m - c + 1 of the
+    other, where c is at least 2 t / (1 + t) * n and at least t * m.
+    """
+    flat = materialize(sets.select("id", "component", F.size("s").alias("n"), F.explode("s").alias("x")), "elements")
+    often = flat.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # what one set alone has comes first and joins nothing: only its number matters
+    shared = flat.join(often, "x")
+    at = F.row_number().over(W.partitionBy("id").orderBy("often", "x"))
+    own = F.count(F.lit(1)).over(W.partitionBy("id"))
+    placed = shared.withColumns({"at": at, "own": own}).withColumn("at", F.col("at") + F.col("n") - F.col("own"))
+    t = F.lit(percent)
+    n = F.col("n")
+    small = n - F.ceil(2 * t * n / (100 + t)) + 1
+    large = n - F.ceil(t * n / 100) + 1
+    placed = materialize(placed.select("x", "id", "n", "at", "component", (F.col("at") <= small).alias("small")).where(F.col("at") <= large), "rarest")
+    one = placed.where("small").select("x", F.col("id").alias("a"), "n", F.col("at").alias("i"), F.col("component").alias("ca"))
+    two = placed.select("x", F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("component").alias("cb"))
+    order = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    reach = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    may = (100 * F.col("n") >= t * F.col("m")) & ((100 + t) * reach >= t * (F.col("n") + F.col("m")))
+    forget(flat)
+    return one.join(two, "x").where(order & (F.col("ca") != F.col("cb")) & may).select("a", "b").distinct()
+
+
+def link_sets(docs: DataFrame, members: DataFrame, words: int, percent: int, star_rounds: int = 4) -> DataFrame:
+    """id, component of every set in ``members`` (bucket, id, n) that links; ids are those of ``_set_id``.
+
+    Every two sets that share a bucket end in one component if they reach the
+    similarity, and no others do unless through such links. ``star_rounds``
+    changes the way, not the result.
     """
     spark = docs.sparkSession
     members = materialize(members, "members")
-    sets = materialize(_sets(semi_join(docs.withColumn("id", F.col("doc_id")), materialize(members.select("id").distinct(), "ids"), ["id"]), words).dropDuplicates(["id"]), "sets")
+    ids = materialize(members.select("id").distinct(), "ids")
+    own = docs.select("text", "set_id").withColumnRenamed("set_id", "id")
+    sets = materialize(_sets(semi_join(own, ids, ["id"]).dropDuplicates(["id"]), words), "sets")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     left = members.withColumn("component", F.col("id"))
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     for turn in range(star_rounds + 1):
-        stats = left.groupBy("bucket").agg(F.min(F.struct("id", "n", "component")).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
-        open_ = stats.where("lo <> hi").select("bucket", F.col("first.id").alias("a"), F.col("first.n").alias("m"), F.col("first.component").alias("ca"), "size")
+        stats = left.groupBy("bucket").agg(F.min(F.struct("id", "n", "component")).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        open_ = stats.where("lo <> hi").select("bucket", F.col("first.id").alias("a"), F.col("first.n").alias("m"), F.col("first.component").alias("ca"))
         left = materialize(left.join(open_, "bucket"), "open")
-        count, squares = left.agg(F.count(F.lit(1)), F.sum("size")).first()
-        if not count:
+        if left.isEmpty():
             break
-        last = squares <= 8 * members.count() or turn == star_rounds
-        if last:  # what is left is compared one by one
-            other = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"))
-            pairs = left.select("bucket", F.col("id").alias("b"), "n", "component").join(other, "bucket").where(F.col("a") < F.col("b"))
+        if turn == star_rounds:
+            open_ids = materialize(left.select("id", "component").distinct(), "open")
+            pairs = rare_pairs(sets.join(open_ids, "id"), percent)
         else:
-            pairs = left.where("id <> a").withColumnRenamed("id", "b")
-        pairs = pairs.where((F.col("ca") != F.col("component")) & near).select("a", "b").distinct()
+            pairs = left.where("id <> a").withColumnRenamed("id", "b").where((F.col("ca") != F.col("component")) & near).select("a", "b").distinct()
         new = materialize(_verified(pairs, sets, percent), "verified")
         if not new.isEmpty():
             links = links.union(new)
             labels = materialize(connected_components(links).withColumnRenamed("node", "id"), "labels")
-        if last:
-            break
         rest = left.where("id <> a").select("bucket", "id", "n")  # the first has met everyone
         left = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "id", "n", "component")
     forget(sets)
@@ -166,26 +207,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     Texts without words, null texts included, have an empty set and link with
     nothing. A null doc_id links with nothing: its component_id is null and it
-    is kept. Rows that repeat a doc_id are judged by their own sets and share
-    its component. No rows give no rows.
+    is kept. Rows that repeat a doc_id are judged each by its own set. No rows
+    give no rows.
     """
+    return _judged(docs, words, percent, bands, per_band).drop("text_key")
+
+
+def _judged(docs: DataFrame, words: int, percent: int, bands: int, per_band: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, words, bands, per_band), "signatures")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n"), F.any_value("band_keys").alias("band_keys")), "sets")
-    flat = reps.select(F.explode("band_keys").alias("bucket"), "id", F.col("n"))
+    full = signed.where("set_id is not null and doc_id is not null")
+    reps = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("band_keys").alias("band_keys")), "sets")
+    flat = reps.select(F.explode("band_keys").alias("bucket"), F.col("set_id").alias("id"), "n")
     shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    labels = link_sets(docs, flat.join(shared, "bucket"), words, percent)
-    names = reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(names, "set_key", "left")
+    members = materialize(flat.join(shared, "bucket"), "members")
+    # a text for each set that shares a bucket: one of its first document's
+    wanted = materialize(members.select(F.col("id").alias("set_id")).distinct(), "wanted")
+    firsts = signed.join(reps.select("set_id", F.col("first").alias("doc_id")), ["set_id", "doc_id"], "left_semi").select("set_id", "doc_id", "text_key")
+    firsts = materialize(firsts.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "firsts")
+    known = semi_join(docs, firsts, ["doc_id"]).withColumn("text_key", text_key()).join(firsts, ["doc_id", "text_key"]).select("text", "set_id")
+    labels = link_sets(known, members, words, percent)
+    named = reps.select("set_id", "first").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    names = named.join(least, "component").select("set_id", "component_id")
+    out = signed.select("doc_id", "n_shingles", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(names, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` but for near-duplicates of a document with a smaller id."""
-    gone = materialize(near_duplicates(docs, words, percent).where("not kept").select("doc_id"), "gone")
-    return semi_join(docs, gone, ["doc_id"], how="left_anti")
+    """Rows of ``docs`` but for near-duplicates of a document with a smaller id.
+
+    Rows that repeat a document, text and all, are judged alike: they go or stay together.
+    """
+    gone = _judged(docs, words, percent, 48, 6).where("not kept").select("doc_id", F.col("text_key").alias("_text_key"))
+    gone = materialize(gone.distinct(), "gone")
+    return semi_join(docs.withColumn("_text_key", text_key()), gone, ["doc_id", "_text_key"], how="left_anti").select(*docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
