@@ -8,9 +8,11 @@ wherever they stand. Chunks are stored once by digest; an ordered chunk list
 digest.
 
 Scale: recipes hold digests only. Chunk bytes move once to meet their copies
-(each task sends a digest once at most) and once to be rebuilt; the store is
-bucketed by digest, so the join that reads it back does not move it. A file
-that many rows share is rebuilt once. Rebuilding streams chunk by chunk.
+(an aggregate by digest, which each task begins before it sends them) and once
+to be rebuilt; the store is bucketed by digest, so the join that reads it back
+does not move it: the store's chunks, one of each, are what a task holds, and
+their uses stream past. A file that many rows share is rebuilt once. Rebuilding
+streams chunk by chunk.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _CLEAN, map_batches, materialize, read, rows
+from .common import map_batches, materialize, read, rows, without_shuffle_files
 
 WIDTH = 64
 #: A pseudo-random number for each byte value, by rule.
@@ -84,41 +86,29 @@ def recipes(docs: DataFrame) -> DataFrame:
     return materialize(map_batches(docs.select("doc_id", "text"), run, RECIPE), "recipes")
 
 
-def write_chunks(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Store each chunk of ``docs`` once; returns the store (digest, packed), bucketed by digest.
+def write_chunks(docs: DataFrame, known: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """Store each chunk of ``docs`` once; returns the store (digest, packed), a table bucketed by digest.
 
     ``known`` may be an earlier store; chunks that it has are not stored again.
+    The table is called ``name`` (by default a new one) and stays until it is dropped.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator) -> Iterator[dict]:
-        seen: set[bytes] = set()
         for batch in rows(batches):
             new = {}
             for t in batch["text"].to_pylist():
-                new.update(x for x in chunks_of(to_media(t)[1]) if x[0] not in seen)
-            seen.update(new)
+                new.update(chunks_of(to_media(t)[1]))
             yield {"digest": list(new), "packed": [bz2.compress(x) for x in new.values()]}
 
-    def once(batches: Iterator) -> Iterator[dict]:
-        seen: set[bytes] = set()
-        for batch in rows(batches):
-            new = {d: p for d, p in zip(batch["digest"].to_pylist(), batch["packed"].to_pylist(), strict=True) if d not in seen}
-            seen.update(new)
-            yield {"digest": list(new), "packed": list(new.values())}
-
-    schema = "digest binary, packed binary"
-    sent = map_batches(docs.select("text"), cut, schema)
+    sent = map_batches(docs.select("text"), cut, "digest binary, packed binary")
+    once = sent.groupBy("digest").agg(F.first("packed").alias("packed"))
     if known is not None:
-        sent = sent.join(known.select("digest"), "digest", "left_anti")
-    name = f"chunks_{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        map_batches(sent.repartition(n, "digest"), once, schema).write.bucketBy(n, "digest").option("compression", "none").saveAsTable(name)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        once = once.join(known.select("digest"), "digest", "left_anti")
+    name = name or f"chunks_{uuid.uuid4().hex}"
+    with without_shuffle_files(spark):
+        once.write.bucketBy(n, "digest").option("compression", "none").saveAsTable(name)
     return spark.table(name)
 
 
@@ -130,7 +120,7 @@ def rebuild(recipe: DataFrame, store: DataFrame) -> DataFrame:
     """
     lists = recipe.groupBy("media").agg(F.any_value("chunks").alias("chunks"), F.any_value("media_bytes").alias("media_bytes"))
     wanted = lists.select("media", "media_bytes", F.posexplode("chunks").alias("seq", "c")).select("media", "media_bytes", "seq", F.col("c.digest").alias("digest"))
-    parts = store.join(wanted.hint("shuffle_hash"), "digest", "right").select("media", "media_bytes", "seq", "packed")
+    parts = wanted.join(store.hint("shuffle_hash"), "digest", "left").select("media", "media_bytes", "seq", "packed")
 
     def run(batches: Iterator) -> Iterator[dict]:
         now, state = None, None
@@ -194,8 +184,9 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     equal texts give equal values. Null and empty texts are a payload of 64
     bytes 0; a null doc_id is kept; no rows give no rows.
     """
-    recipe = recipes(docs)
-    back = materialize(rebuild(recipe, write_chunks(docs)), "media")
+    recipe, name = recipes(docs), f"chunks_{uuid.uuid4().hex}"
+    back = materialize(rebuild(recipe, write_chunks(docs, name=name)), "media")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     return recipe.select("doc_id", "n_bytes", "media_bytes", "media").join(back, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
