@@ -140,7 +140,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, width: int = 8, blo
             yield made()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_batches(ordered, run, STORE), "tokens")
+    return materialize(map_batches(ordered, run, STORE), "tokens", "none")
 
 
 def block_starts(store: DataFrame) -> DataFrame:
@@ -178,6 +178,38 @@ def read_documents(store: DataFrame) -> DataFrame:
     return found.join(block_starts(store), ["part", "block"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def document_index(store: DataFrame) -> DataFrame:
+    """doc_id, part, block, at (its first place in the block) and n_tokens of every document. No file is read."""
+
+    def run(batches: Iterator) -> Iterator[dict]:
+        for batch in rows(batches, 16):
+            for row in batch.to_pylist():
+                n = np.array(row["lengths"], dtype=np.int64)
+                yield {"doc_id": row["doc_ids"], "part": np.full(len(n), row["part"]), "block": np.full(len(n), row["block"]), "at": np.cumsum(n) - n, "n_tokens": n}
+
+    return map_batches(store.select("part", "block", "doc_ids", "lengths"), run, "doc_id long, part int, block int, at long, n_tokens long")
+
+
+def token_at(store: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, place, id: the token at each of ``places`` (doc_id, place from 0) by random access.
+
+    Places beyond a document's end and unknown or null doc_ids give no row;
+    repeated places give one. Where documents share a doc_id, each gives a row.
+    Blocks that nothing is asked of are not read; of the others one chunk, one bit
+    and one rank a level are, for each place.
+    """
+    asked = places.select("doc_id", "place").distinct().join(document_index(store), "doc_id").where("place >= 0 and place < n_tokens")
+    # distinct places of a block, so no more than it has tokens
+    lists = asked.groupBy("part", "block").agg(F.collect_list(F.struct("doc_id", "place", (F.col("at") + F.col("place")).alias("at"))).alias("asked"))
+
+    def run(batches: Iterator) -> Iterator[dict]:
+        for batch in rows(batches, 1):
+            block, asked = Block(batch["file"][0].as_py()), batch["asked"][0].as_py()
+            yield {"doc_id": [x["doc_id"] for x in asked], "place": [x["place"] for x in asked], "id": [block[x["at"]] for x in asked]}
+
+    return map_batches(store.select("part", "block", "file").join(lists, ["part", "block"]).select("file", "asked"), run, "doc_id long, place long, id long")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to files and read back."""
     return read_documents(write_store(read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
