@@ -10,9 +10,10 @@ Equal vectors are one row until the end. ``bits`` follows the logarithm of the
 number of vectors, and the number of tables follows from the bits so that a
 pair at the threshold is missed with a probability of at most ``miss``.
 
-Scale: buckets hold ids and sketches, not vectors; a bucket join is on
-(table, bucket), which Spark splits when hot; vectors move for surviving pairs
-alone. Pairs of different vectors that are true links are all counted, so their
+Scale: buckets hold ids alone; a bucket join is on (table, bucket), which
+Spark splits when hot. With as many buckets in a table as vectors, chance
+meetings grow with the number of tables, as n ** 1.2; sketches and vectors move for
+the pairs that are left. Pairs of different vectors that are true links are all counted, so their
 number bounds the work from below.
 """
 
@@ -53,7 +54,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5,
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
     ``vectors`` has vec_id long and embedding array<float or double>. Cosines
-    are taken in double precision. Vectors that are null, empty or zero, or hold
+    are taken in double precision; vectors whose largest component is beyond
+    1e100 or under 1e-100 are divided by it first, so that no square overflows
+    or vanishes. Vectors that are null, empty or zero, or hold
     null or non-finite components, link with nothing: n_links 0, a component of
     their own. Vectors of different lengths never link. A null vec_id links with
     nothing either; its component_id is null and it is kept. A vec_id that
@@ -62,12 +65,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5,
     """
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     sound = F.coalesce(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    plain = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    largest = F.array_max(F.transform("v", F.abs))
+    extreme = (largest > 1e100) | (largest < 1e-100)
+    plain = F.transform("v", lambda x: F.when(extreme, x / largest).otherwise(x) + F.lit(0.0))  # -0.0 is 0.0
     good = base.where(sound & F.col("vec_id").isNotNull()).select("vec_id", plain.alias("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256))
     good = materialize(good, "vectors")
     classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")), "classes")
     n = classes.count()
-    bits = min(24, max(8, math.ceil(math.log2(n / 8 + 1))))
+    bits = max(8, math.ceil(math.log2(n + 1)))
     tables = tables_for(cosine, bits, miss)
 
     def hashed(batches: Iterator) -> Iterator[dict]:
@@ -87,12 +92,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5,
                 rep = batch["rep"].to_numpy(zero_copy_only=False)[own]
                 yield {"rep": rep, "s": sketch.tolist(), "buckets": bucket.tolist()}
 
-    sketched = map_batches(classes.select("rep", "v"), hashed, "rep long, s array<long>, buckets array<long>")
-    flat = sketched.select("rep", *[F.col("s")[k].alias(f"s{k}") for k in range(4)], F.explode("buckets").alias("bucket"))
-    flat = materialize(flat, "buckets")
-    left, right = flat, flat.select("bucket", F.col("rep").alias("rep2"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
+    sketched = materialize(map_batches(classes.select("rep", "v"), hashed, "rep long, s array<long>, buckets array<long>"), "sketches")
+    flat = sketched.select("rep", F.explode("buckets").alias("bucket"))
+    met = flat.join(flat.select("bucket", F.col("rep").alias("rep2")), "bucket").where("rep < rep2").select("rep", "rep2").distinct()
+    left = sketched.select("rep", *[F.col("s")[k].alias(f"s{k}") for k in range(4)])
+    right = sketched.select(F.col("rep").alias("rep2"), *[F.col("s")[k].alias(f"t{k}") for k in range(4)])
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
-    pairs = left.join(right, "bucket").where((F.col("rep") < F.col("rep2")) & (apart <= sketch_limit(cosine))).select("rep", "rep2").distinct()
+    pairs = materialize(met.join(left, "rep").join(right, "rep2").where(apart <= sketch_limit(cosine)).select("rep", "rep2"), "met")
 
     one, two = classes.select("rep", "v", F.col("copies").alias("c1")), classes.select(F.col("rep").alias("rep2"), F.col("v").alias("v2"), F.col("copies").alias("c2"))
 
