@@ -6,10 +6,8 @@ name never clash, and returns only its own columns (and those documented).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,49 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..functions.storage import materialize, shared_dir, without_shuffle_files
 
 #: Keys up to this number (16 MB of longs) are broadcast; more are shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    Where the session has none (tests, one machine) a temporary folder is made
-    and kept for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
-
-
-@lru_cache(maxsize=8)
-def _own_dir(application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors, and lets Spark remove the
-    shuffle files of the job that wrote it.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that nothing reads any more."""
     for df in tables:
@@ -104,5 +69,19 @@ def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def with_sub(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_sub``: 0, but where rows repeat a doc_id with different texts a digest of the text.
+
+    (doc_id, _sub) names a text; rows that repeat it are one document, and texts
+    of one doc_id are documents of their own, in the order of their digests.
+    """
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    spread = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi")
+    spread = materialize(spread.select("doc_id", F.lit(True).alias("_spread")), "spread")
+    small = spread.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    joined = docs.drop("_sub").join(F.broadcast(spread) if small else spread, "doc_id", "left")
+    return joined.withColumn("_sub", F.when(F.col("_spread"), digest).otherwise(F.lit(0)).cast("long")).select(*[c for c in docs.columns if c != "_sub"], "_sub")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -2,7 +2,7 @@
 
 A line is its words (A-Z lower-cased, runs without ASCII white space). It is
 removed if an earlier line (smaller doc_id, or the same document and a smaller
-number) has the same words or, for lines of ``near_words`` words and more, words
+number; see ``with_sub`` for texts that share a doc_id) has the same words or, for lines of ``near_words`` words and more, words
 at an edit distance of 1: one word put in, left out or exchanged. Earliest
 lines stay, lines are judged on the input, and lines without words are never
 removed.
@@ -27,10 +27,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, materialize, read, rows, semi_join
+from .common import forget, map_batches, materialize, read, rows, semi_join, with_sub
+
+
+PLACE = ("doc_id", "_sub", "line")
 
 
 def words_of(line: str) -> list[bytes]:
@@ -62,12 +65,13 @@ def within_one(a: list[str], b: list[str]) -> bool:
 def _lines(docs: DataFrame, near_words: int, texts: bool) -> DataFrame:
     def run(batches: Iterator) -> Iterator[dict]:
         for batch in rows(batches):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "line", "key", "n_words", "halves", "words")}
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "_sub", "line", "key", "n_words", "halves", "words")}
+            for name, sub, text in zip(*(batch[k].to_pylist() for k in ("doc_id", "_sub", "text")), strict=True):
                 for k, line in enumerate((text or "").split("\n")):
                     if words := words_of(line):
                         joined = b" ".join(words)
                         out["doc_id"].append(name)
+                        out["_sub"].append(sub)
                         out["line"].append(k)
                         out["key"].append(xxhash.xxh3_128_digest(joined))
                         out["n_words"].append(len(words))
@@ -77,8 +81,8 @@ def _lines(docs: DataFrame, near_words: int, texts: bool) -> DataFrame:
                             out["halves"].append(halves(words) if len(words) >= near_words else None)
             yield out
 
-    schema = "doc_id long, line int, key binary, n_words int, " + ("words binary" if texts else "halves array<long>")
-    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), run, schema)
+    schema = "doc_id long, _sub long, line int, key binary, n_words int, " + ("words binary" if texts else "halves array<long>")
+    return map_batches(docs.select("doc_id", "_sub", "text").where("doc_id is not null"), run, schema)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -86,8 +90,8 @@ def _variants(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator[dict]:
         for batch in rows(batches):
-            out: dict[str, list] = {k: [] for k in ("variant", "place", "n", "key", "doc_id", "line")}
-            for key, doc, line, joined in zip(*[batch[c].to_pylist() for c in ("key", "doc_id", "line", "words")], strict=True):
+            out: dict[str, list] = {k: [] for k in ("variant", "place", "n", "key", *PLACE)}
+            for key, doc, sub, line, joined in zip(*[batch[c].to_pylist() for c in ("key", *PLACE, "words")], strict=True):
                 words, n = joined.split(b" "), joined.count(b" ") + 1
                 starts, at = [], 0
                 for w in words:
@@ -97,31 +101,31 @@ def _variants(lines: DataFrame) -> DataFrame:
                 out["variant"].append(xxhash.xxh3_128_digest(whole))
                 out["variant"] += [xxhash.xxh3_128_digest(whole[:s] + whole[s + len(w) + 1 :]) for s, w in zip(starts, words, strict=True)]
                 out["place"] += range(-1, n)
-                for k, v in (("n", n), ("key", key), ("doc_id", doc), ("line", line)):
+                for k, v in (("n", n), ("key", key), ("doc_id", doc), ("_sub", sub), ("line", line)):
                     out[k] += [v] * (n + 1)
             yield out
 
-    return map_batches(lines.select("key", "doc_id", "line", "words"), run, "variant binary, place int, n int, key binary, doc_id long, line int")
+    return map_batches(lines.select("key", *PLACE, "words"), run, "variant binary, place int, n int, key binary, doc_id long, _sub long, line int")
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """key of each distinct line that has an earlier neighbour. ``firsts``: key, first (doc_id, line), halves."""
+    """key of each distinct line that has an earlier neighbour. ``firsts``: key, first (a place), halves."""
     flat = firsts.where("halves is not null").select("key", F.explode("halves").alias("half"))
     shared = flat.groupBy("half").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("half")
-    maybe = materialize(flat.join(shared, "half", "left_semi").select("key").distinct().join(firsts.select("key", "first.doc_id", "first.line"), "key"), "maybe")
+    maybe = materialize(flat.join(shared, "half", "left_semi").select("key").distinct().join(firsts.select("key", "first.*"), "key"), "maybe")
     texts = _lines(semi_join(docs, maybe, ["doc_id"]), 0, True).select("key", "words").dropDuplicates(["key"])
     lines = materialize(maybe.join(texts, "key"), "lines")
     forms = materialize(_variants(lines), "variants")
-    at, earliest = F.struct("doc_id", "line"), F.min(F.struct("doc_id", "line", "key"))
+    at, earliest = F.struct(*PLACE), F.min(F.struct(*PLACE, "key"))
     # one word exchanged: the same variant without the same place
     swap = forms.where("place >= 0")
     lead = swap.groupBy("variant", "place", "n").agg(earliest.alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     swapped = swap.join(lead, ["variant", "place", "n"]).where(F.col("key") != F.col("lead.key")).select("key", F.col("lead.key").alias("by"))
     # one word more or less: a variant is the shorter line itself
-    shorter = forms.where("place = -1").select("variant", F.struct("doc_id", "line", "key").alias("short"))
+    shorter = forms.where("place = -1").select("variant", F.struct(*PLACE, "key").alias("short"))
     longer = swap.join(shorter, "variant")
-    cut = longer.where(F.struct("short.doc_id", "short.line") < at).select("key", F.col("short.key").alias("by"))
-    grown = longer.where(at < F.struct("short.doc_id", "short.line")).groupBy(F.col("short.key").alias("key")).agg(earliest.alias("lead")).select("key", F.col("lead.key").alias("by"))
+    cut = longer.where(F.struct(*[f"short.{c}" for c in PLACE]) < at).select("key", F.col("short.key").alias("by"))
+    grown = longer.where(at < F.struct(*[f"short.{c}" for c in PLACE])).groupBy(F.col("short.key").alias("key")).agg(earliest.alias("lead")).select("key", F.col("lead.key").alias("by"))
     pairs = swapped.union(cut).union(grown).distinct()
 
     def check(batches: Iterator) -> Iterator[dict]:
@@ -136,24 +140,25 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, near_words: int = 8, max_edits: int = 1) -> DataFrame:
-    """doc_id, line (from 0) of every line that an earlier one makes superfluous.
+    """doc_id, _sub (which of the texts that share it), line (from 0) of every line that an earlier one makes superfluous.
 
-    ``max_edits`` is 0 (equal words only) or 1. Documents with a null doc_id
-    have no place in the order: their lines are neither removed nor a reason to
-    remove others. Null texts have no lines; rows that repeat a doc_id with the
-    same text are one document.
+    ``max_edits`` is 0 (equal words only) or 1; lines of ``near_words`` words and
+    more have neighbours. Documents with a null doc_id have no place in the
+    order: their lines are neither removed nor a reason to remove others. Null
+    texts have no lines; rows that repeat a doc_id with the same text are one
+    document, with different texts they are documents of their own.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    docs = docs.select("doc_id", "text")
+    docs = (docs if "_sub" in docs.columns else with_sub(docs.select("doc_id", "text"))).select("doc_id", "_sub", "text")
     lines = materialize(_lines(docs, near_words, False), "lines")
-    firsts = materialize(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.any_value("halves").alias("halves")), "firsts")
+    firsts = materialize(lines.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), F.any_value("halves").alias("halves")), "firsts")
     state = firsts.select("key", "first", F.lit(False).alias("near"))
     if max_edits:
         near = near_lines(docs, firsts).withColumn("hit", F.lit(True))
         state = firsts.select("key", "first").join(near, "key", "left").select("key", "first", F.coalesce("hit", F.lit(False)).alias("near"))
-    judged = lines.select("doc_id", "line", "key").join(state, "key")
-    return judged.where(F.col("near") | (F.struct("doc_id", "line") != F.col("first"))).select("doc_id", "line").distinct()
+    judged = lines.select(*PLACE, "key").join(state, "key")
+    return judged.where(F.col("near") | (F.struct(*PLACE) != F.col("first"))).select(*PLACE).distinct()
 
 
 def drop_duplicate_lines(docs: DataFrame, near_words: int = 8, max_edits: int = 1) -> DataFrame:
@@ -163,13 +168,22 @@ def drop_duplicate_lines(docs: DataFrame, near_words: int = 8, max_edits: int =
     texts stay null. Other columns are as they were, but for columns named
     n_lines or n_removed, which are replaced.
     """
-    gone = duplicate_lines(docs, near_words, max_edits).groupBy("doc_id").agg(F.collect_list("line").alias("_lines_gone"))  # at most a document's lines
-    docs = docs.drop("n_lines", "n_removed")
-    joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left").withColumn("_lines_all", F.split("text", "\n"))
-    left = F.filter("_lines_all", lambda x, k: ~F.array_contains("_lines_gone", k))
-    text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumns({"n_lines": F.coalesce(F.size("_lines_all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_lines_gone"), F.lit(0)).cast("long"), "_lines_text": text})
-    return out.withColumn("text", F.col("_lines_text")).select(*docs.columns, "n_lines", "n_removed")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = with_sub(docs.drop("n_lines", "n_removed"))
+    gone = duplicate_lines(docs, near_words, max_edits).groupBy("doc_id", "_sub").agg(F.sort_array(F.collect_list("line")).alias("_lines_gone"))  # at most a document's lines
+    joined = docs.join(gone.hint("shuffle_hash"), ["doc_id", "_sub"], "left").withColumns({"_lines_all": F.split("text", "\n"), "_lines_n": F.size(F.split("text", "\n"))})
+    # the runs of lines between those that go
+    taken, n = F.col("_lines_gone"), F.size("_lines_gone")
+
+    def run(k: Column) -> Column:
+        begin = F.when(k == 0, 0).otherwise(F.get(taken, k - 1) + 1)
+        end = F.when(k == n, F.col("_lines_n")).otherwise(F.get(taken, k))
+        return F.slice("_lines_all", begin + 1, end - begin)
+
+    left = F.flatten(F.transform(F.sequence(F.lit(0), n), run))
+    text = F.when(taken.isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    out = joined.withColumns({"n_lines": F.greatest(F.coalesce("_lines_n", F.lit(0)), F.lit(0)).cast("long"), "n_removed": F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long"), "_lines_text": text})
+    return out.withColumn("text", F.col("_lines_text")).select(*columns, "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame, near_words: int = 8) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, forget, map_batches, materialize, read, rows, semi_join
+from .common import forget, map_batches, materialize, read, rows, semi_join, with_sub
 
 _TABLE = np.array([int.from_bytes(hashlib.sha256(b"gram" + bytes([k])).digest()[:8], "little") for k in range(256)], dtype=np.uint64)
 _LOW = np.uint64((1 << 24) - 1)
@@ -81,21 +81,6 @@ def _bytes(text: str | None) -> bytes:
 PLACE = ("doc_id", "sub", "start")
 
 
-def with_sub(docs: DataFrame) -> DataFrame:
-    """doc_id, text and sub: 0, but where rows repeat a doc_id with different texts a digest of the text.
-
-    (doc_id, sub) names a text; rows that repeat it are one document. Rows with a
-    null doc_id are left out.
-    """
-    named = docs.select("doc_id", "text").where("doc_id is not null")
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    spread = named.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
-    spread = materialize(spread.withColumn("spread", F.lit(True)), "spread")
-    small = spread.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    joined = named.join(F.broadcast(spread) if small else spread, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("spread"), digest).otherwise(F.lit(0)).cast("long").alias("sub"), "text")
-
-
 def _digest(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
@@ -401,7 +386,7 @@ def _merged(transforms: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 32, merge_bytes: int = 1 << 20, most_bytes: int = 1 << 21, shards: int = 8) -> DataFrame:
     """doc_id, sub, a, b: byte spans [a, b) that strings cover which also start earlier.
 
-    ``docs`` is (doc_id, sub, text) as of ``with_sub``. Spans may overlap. Null
+    ``docs`` is (doc_id, sub, text), sub as of ``with_sub``. Spans may overlap. Null
     texts are empty; rows that repeat a (doc_id, sub) are one document.
     """
     if gram & (gram - 1) or not 1 <= gram <= length:
@@ -449,11 +434,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, merge_byt
     same text are one document; with different texts, each is one of its own, in
     the order of the texts' digests. No rows give no rows.
     """
-    named = with_sub(docs)
+    every = with_sub(docs.select("doc_id", "text")).withColumnRenamed("_sub", "sub")
+    named = every.where("doc_id is not null")
     spans = repeated_spans(named, length, gram, merge_bytes, most_bytes, shards)
     gone = spans.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a text's places
-    nameless = docs.select("doc_id", F.lit(0).cast("long").alias("sub"), "text").where("doc_id is null")
-    joined = named.unionAll(nameless).join(gone.hint("shuffle_hash"), ["doc_id", "sub"], "left")
+    joined = every.join(gone.hint("shuffle_hash"), ["doc_id", "sub"], "left")
 
     def run(batches: Iterator) -> Iterator[dict]:
         for batch in rows(batches, 256):

@@ -321,3 +321,45 @@ def test_chunks_of_an_earlier_store_are_not_stored_again(spark):
     early = media.write_chunks(table(spark, texts[:30]))
     first, added, every = digests(early), digests(media.write_chunks(table(spark, texts), early)), digests(media.write_chunks(table(spark, texts)))
     assert first and added and sorted(first + added) == sorted(every) and len(set(every)) == len(every)
+
+
+def test_embeddings_of_extreme_size(spark):
+    big, tiny = [1e160] * 8, [1e-200] * 8
+    rows = [(1, big), (2, [*[1e160] * 7, -3e159]), (3, tiny), (4, [2e-200] * 8), (5, [1.0] * 8), (6, [5e-324] * 8), (7, [1.7e308] * 8)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    # the second is at a cosine of 0.89 to all but itself
+    assert got == {2: (0, 2)} | {k: (5, 1) for k in (1, 3, 4, 5, 6, 7)}
+
+
+def test_lines_of_texts_that_share_a_doc_id(spark):
+    rows = [(1, "alpha beta\nsecond"), (5, "alpha beta\nown line"), (5, "unique first line\nanother")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.drop_duplicate_lines(table(spark, rows)).collect())
+    assert got == [(1, "alpha beta\nsecond", 0), (5, "own line", 1), (5, "unique first line\nanother", 0)]
+
+
+def test_a_text_of_many_lines(spark):
+    text = "\n".join(f"line {k // 2}" for k in range(100_000))
+    got = lines.drop_duplicate_lines(table(spark, [(1, text), (2, "line 7\nown")])).orderBy("doc_id").collect()
+    assert (got[0].n_lines, got[0].n_removed, got[1].text) == (100_000, 50_000, "own")
+    assert got[0].text == "\n".join(f"line {k}" for k in range(50_000))
+
+
+def test_tokens_by_random_access(spark):
+    texts = [t for t in corpus() if t[0] not in (None, 3)]
+    store = token_store.write_store(table(spark, texts), WORD, block_tokens=500)
+    tok = tokens.WordTokenizer(WORD)
+    ids = {k: [*tok.encode(t).tolist(), 2] for k, t in texts}
+    rng = random.Random(2)
+    asked = [(k, rng.randrange(-1, len(ids[k]) + 2)) for k in ids for _ in range(4)] + [(12345, 0), (None, 0)]
+    got = {(r.doc_id, r.place): r.id for r in token_store.token_at(store, spark.createDataFrame(asked, "doc_id long, place long")).collect()}
+    assert got == {(k, p): ids[k][p] for k, p in asked if k in ids and 0 <= p < len(ids[k])}
+
+
+def test_a_chunk_that_very_many_files_share(spark):
+    shared = "".join(random.Random(8).choices("abcdefgh ", k=3000))
+    texts = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    tables = {t.name for t in spark.catalog.listTables()}
+    out = media.store_and_read(texts)
+    assert out.count() == 20_000 and {t.name for t in spark.catalog.listTables()} == tables
+    want = {k: hashlib.sha256((raw := f"{shared} {k}".encode()) + bytes(-len(raw) % 64)).hexdigest() for k in (0, 7, 19_999)}
+    assert {r.doc_id: r.payload_sha256 for r in out.where("doc_id in (0, 7, 19999)").collect()} == want
