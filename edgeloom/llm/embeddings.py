@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, read
+from .common import map_batches, materialize, read, rows
 from .components import connected_components
 
 SKETCH = 256
@@ -67,7 +67,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5,
     sound = F.coalesce(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     largest = F.array_max(F.transform("v", F.abs))
     extreme = (largest > 1e100) | (largest < 1e-100)
-    plain = F.transform("v", lambda x: F.when(extreme, x / largest).otherwise(x) + F.lit(0.0))  # -0.0 is 0.0
+    plain = F.when(extreme, F.transform("v", lambda x: x / largest + F.lit(0.0))).otherwise(F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
     good = base.where(sound & F.col("vec_id").isNotNull()).select("vec_id", plain.alias("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary"), 256))
     good = materialize(good, "vectors")
     classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v")), "classes")
@@ -76,7 +76,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, miss: float = 1e-5,
     tables = tables_for(cosine, bits, miss)
 
     def hashed(batches: Iterator) -> Iterator[dict]:
-        for batch in batches:
+        for batch in rows(batches, 1024):
             by_size: dict[int, list[int]] = {}
             for k, v in enumerate(vs := batch["v"].to_pylist()):
                 by_size.setdefault(len(v), []).append(k)
