@@ -31,6 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
     """Jobs inside remove their shuffle files when they end."""
@@ -49,7 +53,7 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     shuffle files of the job that wrote it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     with without_shuffle_files(spark):
         df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

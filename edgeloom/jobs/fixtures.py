@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from ..operators.edges import num_nodes
 
 
@@ -13,11 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> part of one order; symmetric."""
+    """part -> part of one order; symmetric. Written once, as its users read it several times."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     a = lines.select("l_orderkey", F.col("l_partkey").cast("long").alias("src"))
     b = lines.select("l_orderkey", F.col("l_partkey").cast("long").alias("dst"))
-    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+    return materialize(a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct(), "copurchase")
 
 
 def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from ..operators import compress as cm
 from ..operators import edges as ed
 from ..operators import gcn, normalize, report, similarity, tree
 from ..operators import propagate as pr
-from ..sources.graphs import batch_graphs
+from ..functions.storage import materialize, new_path
+from ..sources.graphs import batch_graphs, read_coordinate_text, read_edges, write_table
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +51,7 @@ def flat(df: DataFrame, width: int, digits: int | None = None) -> DataFrame:
 
 @add("num_nodes", f"WITH {COP} SELECT CAST(max(greatest(src, dst)) + 1 AS BIGINT) AS n FROM e")
 def _(spark, d):
-    return fx.copurchase(spark, d).agg((F.max(F.greatest("src", "dst")) + 1).alias("n"))
+    return fx.copurchase(spark, d).agg(ed.nodes_column())
 
 
 @add("transpose", f"WITH {SUPP} SELECT dst AS src, src AS dst FROM e")
@@ -114,6 +115,46 @@ def _(spark, d):
     return ed.check_edges(fx.copurchase(spark, d))
 
 
+@add("check_edges_faulty", "WITH e AS (SELECT CAST(l_orderkey AS BIGINT) AS src, CASE WHEN l_linenumber < 7 THEN CAST(l_partkey AS BIGINT) END AS dst FROM lineitem WHERE l_orderkey > 5), i AS (SELECT src AS id FROM e UNION SELECT dst FROM e WHERE dst IS NOT NULL) SELECT (SELECT count(*) FROM i) = (SELECT max(id) + 1 FROM i) AS contiguous, (SELECT count(*) FROM e) = (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS coalesced, (SELECT min(id) FROM i) = 0 AS starts_at_zero, (SELECT count(*) FROM e WHERE dst IS NULL) = 0 AS no_nulls")
+def _(spark, d):
+    lines = fx.table(spark, d, "lineitem").where("l_orderkey > 5")
+    return ed.check_edges(lines.select(F.col("l_orderkey").cast("long").alias("src"), F.when(F.col("l_linenumber") < 7, F.col("l_partkey").cast("long")).alias("dst")))
+
+
+# Sources: tables of this library's own writing, from the given ones
+
+
+@add("read_edges", f"WITH {SUPP} SELECT * FROM e")
+def _(spark, d):
+    path = new_path(spark, "edges")
+    write_table(fx.part_supp(spark, d), path, "csv")
+    return read_edges(spark, path, "csv", "_c0", "_c1")
+
+
+@add("write_table", f"WITH {SUPP} SELECT src, count(*) AS degree FROM e GROUP BY 1")
+def _(spark, d):
+    path = new_path(spark, "table")
+    write_table(fx.part_supp(spark, d).groupBy("src").agg(F.count(F.lit(1)).alias("degree")), path)
+    return spark.read.parquet(path)
+
+
+@add("read_coordinate_text", f"WITH {SUPP}, t AS (SELECT src, dst FROM e WHERE src >= dst) SELECT src, dst, CAST(src + dst AS DOUBLE) AS weight FROM t UNION ALL SELECT dst, src, CAST(-src - dst AS DOUBLE) FROM t WHERE src <> dst")
+def _(spark, d):
+    """A skew-symmetric file in which every task's part has a head of its own."""
+    lower = fx.part_supp(spark, d).where("src >= dst").select("dst", "src", (F.col("src") + F.col("dst")).cast("double").alias("weight"))
+
+    def written(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": ["%%MatrixMarket matrix coordinate real skew-symmetric", "% a comment", "", "9 9 9"]})
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"value": [f"{i + 1} {j + 1} {w}" for j, i, w in zip(*b.to_pydict().values(), strict=True)]})
+
+    path = new_path(spark, "coordinates")
+    lower.mapInArrow(written, "value string").write.text(path)
+    return read_coordinate_text(spark, path)
+
+
 @add("batch_graphs", f"WITH g AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS graph_id, CAST(l_suppkey AS BIGINT) AS src, CAST(l_partkey AS BIGINT) AS dst FROM lineitem), s AS (SELECT graph_id, max(greatest(src, dst)) + 1 AS n FROM g GROUP BY 1), o AS (SELECT graph_id, CAST(sum(n) OVER (ORDER BY graph_id) - n AS BIGINT) AS o FROM s) SELECT graph_id, src + o AS src, dst + o AS dst FROM g JOIN o USING (graph_id)")
 def _(spark, d):
     g = fx.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("graph_id"), F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
@@ -172,7 +213,7 @@ def _(spark, d):
 @add("propagate_max_hook", f"WITH {COP}, {NODES}, {PART} SELECT v.node, coalesce(max(s.x0 - t.x0), 0) AS x0, coalesce(max(s.x1 - t.x1), 0) AS x1 FROM v LEFT JOIN (e JOIN x s ON src = s.node JOIN x t ON dst = t.node) ON dst = v.node GROUP BY 1")
 def _(spark, d):
     e = fx.copurchase(spark, d)
-    out = pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2, message=lambda j, i, w: F.zip_with(j, i, lambda a, b: a - b), aggregate=F.max)
+    out = pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2, message=lambda x_j, x_i: F.zip_with(x_j, x_i, lambda a, b: a - b), aggregate=F.max)
     return flat(out, 2)
 
 
@@ -303,7 +344,7 @@ def _(spark, d):
 def _(spark, d):
     e = fx.user_day(spark, d)
     scales = spark.range(fx.sized(e)).select(F.col("id").alias("node"), (F.lit(1.0) / (F.col("id") + 1)).alias("scale"))
-    return cm.row_deltas_scaled(e, _chain(e), scales)
+    return cm.row_deltas_scaled(e, _chain(e), scales).drop("sign")
 
 
 @add("tree_update", f"WITH RECURSIVE {SUPP}, {NODES}, {DAYX}, y AS (SELECT node, x0, x1 FROM x WHERE node = 0 UNION ALL SELECT x.node, x.x0 + y.x0, x.x1 + y.x1 FROM y JOIN x ON x.node > 0 AND (x.node - 1) // 2 = y.node) SELECT node, x0, x1 FROM y")
@@ -330,12 +371,32 @@ def _(spark, d):
     return cm.decompress(cm.compress(e, fx.sized(e), 2))
 
 
-@add("check_compressed", "SELECT TRUE AS same")
+@add("decompress_orders", f"WITH {ORD} SELECT src, dst FROM e")
+def _(spark, d):
+    e = fx.order_part(spark, d)
+    return cm.decompress(cm.compress(e, fx.sized(e), 0))
+
+
+@add("decompress_normalized", f"WITH {DAY} SELECT src, dst FROM e")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    return cm.decompress(cm.compress(e, fx.sized(e), 0, normalized=True))
+
+
+@add("check_compressed", f"WITH {DAY} SELECT (SELECT count(DISTINCT src) FROM e) AS n_rows, (SELECT count(*) FROM e) AS n_edges, TRUE AS same, FALSE AS same_as_others")
 def _(spark, d):
     e = fx.user_day(spark, d)
     c = cm.compress(e, fx.sized(e), 0)
-    again, plain = cm.decompress(c).withColumn("s", F.lit(1)), e.withColumn("s", F.lit(-1))
-    return again.union(plain).groupBy("src", "dst").agg(F.sum("s").alias("s")).agg((F.count(F.when(F.col("s") != 0, 1)) == 0).alias("same"))
+    sizes = e.agg(F.countDistinct("src").alias("n_rows"), F.count(F.lit(1)).alias("n_edges"))
+    return sizes.select("n_rows", "n_edges", F.lit(cm.check_compressed(c, e)).alias("same"), F.lit(cm.check_compressed(c, e.where("src % 7 <> 3"))).alias("same_as_others"))
+
+
+@add("stored_compressed", f"WITH {DAY} SELECT src, dst FROM e")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    n, path = fx.sized(e), new_path(spark, "compressed")
+    cm.compress(e, n, 0, normalized=True).write(path)
+    return cm.decompress(cm.Compressed.read(spark, path, n, normalized=True))
 
 
 @add("compression_ratio", f"WITH {ORD}, n AS (SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS e FROM e) SELECT n, e AS n_edges, e AS n_deltas, round((n + 1 + 2 * e) / CAST(3 * n + 3 + 2 * e AS DOUBLE), 9) AS ratio FROM n")
@@ -345,7 +406,15 @@ def _(spark, d):
     c = cm.compress(e, n, 2)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     sizes = count(e, "n_edges").join(count(c.deltas, "n_deltas"))  # one row each
-    return sizes.select(F.lit(n).cast("long").alias("n"), "n_edges", "n_deltas", F.round((n + 1 + 2 * F.col("n_edges")) / (3 * n + 3 + 2 * F.col("n_deltas")).cast("double"), 9).alias("ratio"))
+    return sizes.select(F.lit(n).cast("long").alias("n"), "n_edges", "n_deltas", F.round(cm.compression_ratio(F.lit(n), F.col("n_edges"), F.col("n_deltas")), 9).alias("ratio"))
+
+
+@add("delta_layout", f"WITH {DAY}, {CHAIN}, {NODES} SELECT v.node AS row, count(r.col) AS nnz, coalesce(string_agg(CASE WHEN val > 0 THEN '+' ELSE '-' END || col, ',' ORDER BY col), '') AS entries FROM v LEFT JOIN r ON r.row = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    chain = _chain(e)
+    rows = cm.delta_layout(cm.Compressed(fx.sized(e), chain, cm.row_deltas(e, chain)))
+    return rows.select("row", "nnz", F.array_join(F.transform("entries", lambda x: F.concat(F.when(x.val > 0, "+").otherwise("-"), x.col.cast("string"))), ",").alias("entries"))
 
 
 @add("compressed_matmul", f"WITH {DAY}, {NODES}, {DAYX} " + SUMS.format(a="dst", b="src"))
@@ -355,6 +424,20 @@ def _(spark, d):
     return flat(cm.compress(e, n, 0).matmul(fx.day_features(spark, n), 2), 2)
 
 
+@add("compressed_matmul_orders", f"WITH {ORD}, {NODES}, {DAYX} " + SUMS.format(a="dst", b="src"))
+def _(spark, d):
+    e = fx.order_part(spark, d)
+    n = fx.sized(e)
+    return flat(cm.compress(e, n, 0).matmul(fx.day_features(spark, n), 2), 2)
+
+
+@add("propagate_compressed", f"WITH {DAY}, {NODES}, {DAYX}, s AS (SELECT v.node, CASE WHEN count(e.dst) > 0 THEN pow(count(e.dst), -0.5) ELSE 0 END AS s FROM v LEFT JOIN e ON e.dst = v.node GROUP BY 1) SELECT v.node, round(coalesce(sum(a.s * b.s * x0), 0), 6) AS x0, round(coalesce(sum(a.s * b.s * x1), 0), 6) AS x1 FROM v LEFT JOIN (e JOIN x ON src = x.node JOIN s a ON src = a.node JOIN s b ON dst = b.node) ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    n = fx.sized(e)
+    return flat(pr.propagate(e, fx.day_features(spark, n), n, 2, normalize=True, strategy="compressed"), 2, 6)
+
+
 @add("compressed_matmul_normalized", f"WITH {DAY}, {NODES}, {DAYX}, s AS (SELECT v.node, CASE WHEN count(e.src) > 0 THEN pow(count(e.src), -0.5) ELSE 0 END AS s FROM v LEFT JOIN e ON e.src = v.node GROUP BY 1) SELECT v.node, round(coalesce(sum(a.s * b.s * x0), 0), 6) AS x0, round(coalesce(sum(a.s * b.s * x1), 0), 6) AS x1 FROM v LEFT JOIN (e JOIN x ON dst = x.node JOIN s a ON src = a.node JOIN s b ON dst = b.node) ON src = v.node GROUP BY 1")
 def _(spark, d):
     e = fx.user_day(spark, d)
@@ -384,6 +467,19 @@ def _(spark, d):
     return report.graph_stats(e, fx.sized(e))
 
 
+@add("graph_stats_by", "WITH e AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS dataset, CAST(l_partkey AS BIGINT) AS src, CAST(l_suppkey AS BIGINT) AS dst FROM lineitem), n AS (SELECT dataset, max(greatest(src, dst)) + 1 AS nodes, count(*) AS edges, count(*) FILTER (src <> dst) AS k FROM e GROUP BY 1) SELECT dataset, nodes, edges, (k + nodes) / CAST(nodes AS DOUBLE) AS mean_row FROM n")
+def _(spark, d):
+    g = fx.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("dataset"), F.col("l_partkey").cast("long").alias("src"), F.col("l_suppkey").cast("long").alias("dst"))
+    return report.graph_stats(g, by="dataset")
+
+
+@add("differences", "SELECT CAST(p_partkey AS BIGINT) AS node FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 5")
+def _(spark, d):
+    x = fx.part_features(spark, d)
+    other = x.where("node % 11 <> 5").select("node", F.transform("x", lambda v: v + F.when(F.col("node") % 7 == 0, 1.0).otherwise(1e-6)).alias("x"))
+    return report.differences(x, other)
+
+
 @add("timing", f"WITH {METRICS} SELECT dataset, method, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS std FROM m GROUP BY 1, 2")
 def _(spark, d):
     return report.timing(_metrics(spark, d)).select("dataset", "method", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
@@ -414,7 +510,9 @@ def _(spark, d):
     return report.long(report.wide(_metrics(spark, d), ["A", "N", "R"]), ["A", "N", "R"])
 
 
-@add("alpha_sweep", None)
+@add("alpha_sweep", f"WITH {DAY}, {PAIRS}, a AS (SELECT unnest([0, 2, 8]) AS alpha), n AS (SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS k FROM e), c AS (SELECT alpha, count(*) FILTER (h < nnz_v - alpha) + count(*) FILTER (h < nnz_u - alpha) AS candidates FROM q CROSS JOIN a GROUP BY 1) SELECT alpha, candidates, TRUE AS fewer_than_edges, TRUE AS ratio_of_deltas FROM c")
 def _(spark, d):
-    e = fx.user_day(spark, d)
-    return cm.alpha_sweep(e, fx.sized(e), [0, 2, 8])
+    e = materialize(fx.user_day(spark, d), "edges")
+    n, k = fx.sized(e), e.count()
+    sweep = cm.alpha_sweep(e, n, [0, 2, 8])
+    return sweep.select("alpha", "candidates", (F.col("deltas") < k).alias("fewer_than_edges"), (F.abs(F.col("ratio") * (3 * n + 3 + 2 * F.col("deltas")) - (n + 1 + 2 * k)) < 1e-6).alias("ratio_of_deltas"))

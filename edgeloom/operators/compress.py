@@ -11,8 +11,8 @@ from ..functions.storage import materialize
 from ..functions.vectors import inv_sqrt
 from .edges import coalesce_edges, to_rows
 from .propagate import spmm
-from .similarity import candidate_edges, row_distances
-from .tree import compression_tree, path_ancestors, tree_update, tree_update_scaled
+from .similarity import candidate_edges, pruned_overlap, row_distances
+from .tree import compression_tree, path_sums, tree_update, tree_update_scaled
 
 
 def row_deltas(edges: DataFrame, tree: DataFrame) -> DataFrame:
@@ -24,13 +24,13 @@ def row_deltas(edges: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def row_deltas_scaled(edges: DataFrame, tree: DataFrame, scales: DataFrame) -> DataFrame:
-    """Deltas times the column's scale (node, scale)."""
-    return row_deltas(edges, tree).join(scales.select(F.col("node").alias("col"), "scale"), "col").select("row", "col", (F.col("val") * F.col("scale")).alias("val"))
+    """Deltas times the column's scale (node, scale), and their sign, which a scale of 0 leaves as it is."""
+    return row_deltas(edges, tree).join(scales.select(F.col("node").alias("col"), "scale"), "col").select("row", "col", (F.col("val") * F.col("scale")).alias("val"), F.col("val").alias("sign"))
 
 
 @dataclass
 class Compressed:
-    """tree (row, parent, weight, depth), deltas (row, col, val), scales (node, scale) if normalised."""
+    """tree (row, parent, weight, depth), deltas (row, col, val); if normalised, deltas also have sign, and there are scales (node, scale)."""
 
     n: int
     tree: DataFrame
@@ -53,13 +53,37 @@ class Compressed:
         return Compressed(n, spark.read.parquet(f"{path}/tree"), spark.read.parquet(f"{path}/deltas"), spark.read.parquet(f"{path}/scales") if normalized else None)
 
 
+def equal_rows(edges: DataFrame) -> DataFrame:
+    """row, nnz, rep (the least row with the same columns), copies, by two order-free digests of the columns."""
+    one, two = F.xxhash64("dst"), F.xxhash64("dst", F.lit(1))
+    rows = edges.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("nnz"), F.bit_xor(one).alias("x"), F.sum(F.pmod(two, F.lit(1 << 40))).alias("y"))
+    rows = materialize(rows, "rows")
+    same = rows.groupBy("nnz", "x", "y").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return materialize(rows.join(same, ["nnz", "x", "y"]).select("row", "nnz", "rep", "copies"), "equal")
+
+
+def _tree(plain: DataFrame, alpha: int, method: str, distances: DataFrame | None) -> DataFrame:
+    """The compression tree, found among one row of each kind; the others hang below it, where that is legal (nnz > alpha), at no delta."""
+    equal = equal_rows(plain)
+    below = equal.where((F.col("row") != F.col("rep")) & (F.col("nnz") > alpha))
+    single = plain.join(below.select(F.col("row").alias("src")), "src", "left_anti")
+    if distances is None:
+        cand = candidate_edges(materialize(single, "single"), alpha)
+    else:
+        cand = candidate_edges(single, alpha, distances=distances)
+    tree = materialize(compression_tree(cand, alpha, method), "tree")
+    copies = below.select("row", F.col("rep").alias("parent")).join(tree.select(F.col("row").alias("parent"), "depth"), "parent")
+    return materialize(tree.unionByName(copies.select("row", "parent", F.lit(0).cast("long").alias("weight"), (F.col("depth") + 1).alias("depth"))), "tree")
+
+
 def compress(edges: DataFrame, n: int, alpha: int = 0, normalized: bool = False, method: str = "mst", distances: DataFrame | None = None) -> Compressed:
     """Compress a binary matrix; weights are ignored and repeats removed.
 
     The scale of the normalised form is the degree of the matrix's own rows.
+    ``distances`` may be given where one row of each kind has been compared.
     """
-    plain = coalesce_edges(edges.select("src", "dst"))
-    tree = materialize(compression_tree(candidate_edges(plain, alpha, distances=distances), alpha, method), "tree")
+    plain = materialize(coalesce_edges(edges.select("src", "dst")), "plain")
+    tree = _tree(plain, alpha, method, distances)
     if not normalized:
         return Compressed(n, tree, materialize(row_deltas(plain, tree), "deltas"))
     counts = plain.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
@@ -77,17 +101,19 @@ def delta_layout(c: Compressed, layout: str = "rows") -> DataFrame:
     return to_rows(c.deltas.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("val").alias("weight")), c.n)
 
 
+def _signs(c: Compressed) -> DataFrame:
+    return c.deltas.select("row", "col", (F.col("val") if c.scales is None else F.col("sign")).alias("val"))
+
+
 def decompress(c: Compressed) -> DataFrame:
     """src, dst: the rows again, as sums of deltas along each path to the root."""
-    paths = path_ancestors(c.tree)
-    sums = paths.join(c.deltas.withColumnRenamed("row", "ancestor"), "ancestor").groupBy("row", "col").agg(F.sum(F.signum("val")).alias("s"))
-    return sums.where("s <> 0").select(F.col("row").alias("src"), F.col("col").alias("dst"))
+    return path_sums(c.tree, _signs(c)).select(F.col("row").alias("src"), F.col("col").alias("dst"))
 
 
 def check_compressed(c: Compressed, edges: DataFrame) -> bool:
-    """Whether the compressed form gives the edges back; raises on a delta of 0."""
-    if not c.deltas.where("val = 0").isEmpty() and c.scales is None:
-        raise ValueError("a delta is 0")
+    """Whether the compressed form gives the edges back; raises on a delta other than 1 and -1."""
+    if not _signs(c).where("abs(val) <> 1").isEmpty():
+        raise ValueError("a delta is neither 1 nor -1")
     plain, again = edges.select("src", "dst").distinct(), decompress(c)
     return plain.exceptAll(again).isEmpty() and again.exceptAll(plain).isEmpty()
 
@@ -98,12 +124,19 @@ def compression_ratio(n: int, n_edges: int, n_deltas: int) -> float:
 
 
 def alpha_sweep(edges: DataFrame, n: int, alphas: list[int]) -> DataFrame:
-    """alpha, candidates, deltas, ratio; distances are counted once."""
-    spark, plain = edges.sparkSession, coalesce_edges(edges.select("src", "dst"))
-    distances = materialize(row_distances(plain), "distances")
+    """alpha, candidates, deltas, ratio. Rows of one kind are compared once, for the least alpha, and then for all."""
+    spark, plain = edges.sparkSession, materialize(coalesce_edges(edges.select("src", "dst")), "plain")
+    equal = equal_rows(plain)
+    kinds = equal.where("row = rep").select("row", "nnz", "copies")
+    reps = materialize(plain.join(kinds.select(F.col("row").alias("src")), "src", "left_semi"), "reps")
+    between = row_distances(reps, pruned_overlap(reps, min(alphas)))
+    between = materialize(between.join(kinds.select(F.col("row").alias("u"), F.col("copies").alias("cu")), "u").join(kinds.select(F.col("row").alias("v"), F.col("copies").alias("cv")), "v"), "distances")
+    # rows of a kind that is no more than alpha long stay apart, and differ by nothing
     total, out = plain.count(), []
     for alpha in alphas:
-        cand = candidate_edges(plain, alpha, distances=distances)
-        deltas = compress(plain, n, alpha, distances=distances).deltas.count()
-        out.append((alpha, cand.where("parent is not null").count(), deltas, compression_ratio(n, total, deltas)))
+        pairs = between.select(F.col("cu") * F.col("cv") * ((F.col("h") < F.col("nnz_u") - alpha).cast("long") + (F.col("h") < F.col("nnz_v") - alpha).cast("long")))
+        same = kinds.where(F.col("nnz") > alpha).select(F.col("copies") * (F.col("copies") - 1))
+        candidates = pairs.union(same).toDF("k").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+        deltas = compress(plain, n, alpha, distances=between.drop("cu", "cv")).deltas.count()
+        out.append((alpha, int(candidates), deltas, compression_ratio(n, total, deltas)))
     return spark.createDataFrame(out, "alpha int, candidates long, deltas long, ratio double")

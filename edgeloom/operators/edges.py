@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def num_nodes(edges: DataFrame) -> int:
     """Largest id + 1; 0 without edges."""
-    return int(edges.agg(F.max(F.greatest("src", "dst"))).first()[0] if not edges.isEmpty() else -1) + 1
+    return edges.agg(nodes_column()).first()[0]
+
+
+def nodes_column() -> Column:
+    """The same as an aggregate."""
+    return (F.coalesce(F.max(F.greatest("src", "dst")), F.lit(-1)) + 1).cast("long").alias("n")
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -61,15 +67,21 @@ def to_rows(edges: DataFrame, n: int) -> DataFrame:
 
 
 def row_pointer(rows: DataFrame, span: int = 65_536) -> DataFrame:
-    """row, ptr: entries before each row. Running sums are taken within spans of
-    ids and over the spans' totals, so no task sees all rows."""
-    from pyspark.sql import Window as W
-
-    cut = rows.select("row", "nnz", F.floor(F.col("row") / span).alias("span"))
-    totals = cut.groupBy("span").agg(F.sum("nnz").alias("n"))
-    before = totals.select("span", (F.sum("n").over(W.orderBy("span")) - F.col("n")).alias("before"))
-    inside = F.sum("nnz").over(W.partitionBy("span").orderBy("row")) - F.col("nnz")
-    return cut.withColumn("inside", inside).join(before, "span").select("row", (F.col("before") + F.col("inside")).alias("ptr"))
+    """row, ptr: entries before each row."""
+    return sums_before(rows.select("row", "nnz"), "row", "nnz", "ptr", span)
+
+
+def sums_before(df: DataFrame, key: str, value: str, name: str, span: int = 65_536) -> DataFrame:
+    """``key`` and ``name``: the sum of ``value`` over smaller keys (long, distinct).
+
+    Running sums are taken within spans of keys and over the spans' totals, so no
+    task sees all rows.
+    """
+    cut = df.select(key, value, F.floor(F.col(key) / span).alias("_span"))
+    totals = cut.groupBy("_span").agg(F.sum(value).alias("_n"))
+    before = totals.select("_span", (F.sum("_n").over(W.orderBy("_span")) - F.col("_n")).alias("_before"))
+    inside = F.sum(value).over(W.partitionBy("_span").orderBy(key)) - F.col(value)
+    return cut.withColumn("_inside", inside).join(before, "_span").select(key, (F.col("_before") + F.col("_inside")).cast("long").alias(name))
 
 
 def to_edges(rows: DataFrame) -> DataFrame:

@@ -20,12 +20,6 @@ def inv_sqrt_degree(edges: DataFrame, n: int, side: str = "dst") -> DataFrame:
     return degree(edges, n, side).withColumn("scale", inv_sqrt(F.col("deg")))
 
 
-def _with_scales(edges: DataFrame, scales: DataFrame) -> DataFrame:
-    one = scales.select(F.col("node").alias("src"), F.col("scale").alias("scale_src"))
-    two = scales.select(F.col("node").alias("dst"), F.col("scale").alias("scale_dst"))
-    return edges.join(one, "src").join(two, "dst")
-
-
 def normalize_edges(edges: DataFrame) -> DataFrame:
     """src, dst, weight = deg(src)^-1/2 * deg(dst)^-1/2, degrees of targets."""
     counts = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("deg"))

@@ -7,12 +7,15 @@ broadcasts features that its own size estimate finds small.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import reduce_vectors, scale, zeros
+from .edges import num_nodes
+from .normalize import normalize_edges
 
 ENDS = {"source_to_target": ("src", "dst"), "target_to_source": ("dst", "src")}
 
@@ -55,36 +58,78 @@ def spmv(edges: DataFrame, v: DataFrame, n: int) -> DataFrame:
     return nodes.join(sums, "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def _hooked(edges: DataFrame, x: DataFrame, source: str, target: str, message: Callable[..., Column]) -> tuple[DataFrame, Column]:
+    """Edges with what a message hook asks for by its arguments' names, and its message."""
+    names = list(inspect.signature(message).parameters)
+    base = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+    base = base.select(*[F.col(c).alias(f"_e_{c}") for c in base.columns])
+    for end, mark in ((source, "j"), (target, "i")):
+        wanted = sorted({n[:-2] for n in names if n.endswith(f"_{mark}")})
+        if wanted or mark == "j":
+            side = x.select(F.col("node").alias(f"_e_{end}"), *[F.col(c).alias(f"_{mark}_{c}") for c in wanted])
+            base = base.join(side, f"_e_{end}", "inner" if mark == "j" else "left")
+
+    def column(name: str) -> Column:
+        if name.endswith(("_i", "_j")):
+            return F.col(f"_{name[-1]}_{name[:-2]}")
+        return F.col("_e_weight" if name == "edge_weight" else f"_e_{name}")
+
+    return base, message(*[column(n) for n in names])
+
+
 def propagate(
     edges: DataFrame,
     x: DataFrame,
     size: int | tuple[int | None, int | None] | None,
     width: int,
     flow: str = "source_to_target",
-    message: Callable[[Column, Column, Column], Column] | None = None,
+    message: Callable[..., Column] | None = None,
     aggregate: Callable[[Column], Column] = F.sum,
+    normalize: bool = False,
+    strategy: str = "direct",
+    alpha: int = 2,
 ) -> DataFrame:
     """Collect, message, aggregate over every edge; ``flow`` is always honoured.
 
     ``size``: nodes, or (sources, targets); a missing side copies the other,
-    None takes the largest id + 1. ``message(x_j, x_i, weight)`` gives a vector
-    column, by default ``weight * x_j``; ``aggregate`` is applied to each
-    component. Nodes without messages get 0.
+    None takes the largest id + 1. Nodes without messages get 0.
+
+    ``message`` gives a vector column, by default ``weight * x_j``. Its arguments
+    are chosen by name: ``x_j`` and ``x_i`` are the features of the sending and the
+    receiving node, and so any column of ``x`` with ``_j`` or ``_i``; other names are
+    columns of ``edges`` (``weight``, also as ``edge_weight``, is 1 where there is none).
+    ``aggregate`` is applied to each component.
+
+    ``normalize`` weights edges by the degrees on the receiving side. ``strategy``
+    ``compressed`` multiplies by the compressed matrix (``alpha`` as there): the same
+    sums for edges without weights, messages and other aggregates.
     """
     source, target = ENDS[flow]
     sizes = size if isinstance(size, tuple) else (size, size)
     n = sizes[1] if sizes[1] is not None else sizes[0]
-    if n is None:
-        n = int(edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1
-    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    base = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t"), weight.alias("_w")).join(x.select(F.col("node").alias("_s"), F.col("x").alias("_xj")), "_s")
+    n = num_nodes(edges) if n is None else n
+    if strategy == "compressed":
+        if message is not None or aggregate is not F.sum or "weight" in edges.columns:
+            raise ValueError("compressed propagation sums features over edges without weights")
+        from .compress import compress
+
+        rows = edges.select(F.col(target).alias("src"), F.col(source).alias("dst"))
+        whole = num_nodes(rows)
+        made = compress(rows, whole, alpha, normalized=normalize).matmul(x, width)
+        return fill_nodes(made, n, width)
+    if strategy != "direct":
+        raise ValueError(f"unknown strategy {strategy}")
+    if normalize:
+        turned = normalize_edges(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")))
+        edges = turned.select(F.col("src").alias(source), F.col("dst").alias(target), "weight")
     if message is None:
-        out = scale(F.col("_xj"), F.col("_w"))
+        weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+        base = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t"), weight.alias("_w")).join(x.select(F.col("node").alias("_s"), F.col("x").alias("_xj")), "_s")
+        sent = base.select(F.col("_t").alias("node"), scale(F.col("_xj"), F.col("_w")).alias("x"))
     else:
-        base = base.join(x.select(F.col("node").alias("_t"), F.col("x").alias("_xi")), "_t", "left")
-        out = message(F.col("_xj"), F.col("_xi"), F.col("_w"))
-    sums = reduce_vectors(base.select(F.col("_t").alias("node"), out.alias("x")), "node", "x", width, aggregate)
-    return fill_nodes(sums, n, width)
+        base, out = _hooked(edges, x, source, target, message)
+        sent = base.select(F.col(f"_e_{target}").alias("node"), out.alias("x"))
+    return fill_nodes(reduce_vectors(sent, "node", "x", width, aggregate), n, width)
 
 
 def feature_gradient(edges: DataFrame, g: DataFrame, n: int, width: int) -> DataFrame:

@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .edges import nodes_column
 
-def graph_stats(edges: DataFrame, n: int) -> DataFrame:
-    """nodes, edges, and the mean row length once every node has one loop."""
+
+def graph_stats(edges: DataFrame, n: int | None = None, by: str | None = None) -> DataFrame:
+    """nodes, edges, and the mean row length once every node has one loop.
+
+    With ``by`` one row for each of that column's values, in one pass; nodes are
+    ``n``, or else the largest id + 1.
+    """
+    keys = [by] if by else []
     inner = F.count(F.when(F.col("src") != F.col("dst"), 1))
-    return edges.select("src", "dst").distinct().agg(F.lit(n).cast("long").alias("nodes"), F.count(F.lit(1)).alias("edges"), ((inner + n) / F.lit(float(n))).alias("mean_row"))
+    nodes = nodes_column() if n is None else F.lit(n).cast("long")
+    sums = edges.select(*keys, "src", "dst").distinct().groupBy(*keys).agg(nodes.alias("nodes"), F.count(F.lit(1)).alias("edges"), inner.alias("inner"))
+    return sums.select(*keys, "nodes", "edges", F.try_divide(F.col("inner") + F.col("nodes"), F.col("nodes").cast("double")).alias("mean_row"))
 
 
-def assert_close(a: DataFrame, b: DataFrame, atol: float = 1e-4, rtol: float = 1e-4) -> None:
-    """Raise unless both (node, x) have the same nodes and |a - b| <= atol + rtol |b|."""
+def differences(a: DataFrame, b: DataFrame, atol: float = 1e-4, rtol: float = 1e-4) -> DataFrame:
+    """node, of both (node, x), where one is missing or some |a - b| is over atol + rtol |b|."""
     both = a.select("node", F.col("x").alias("p")).join(b.select("node", F.col("x").alias("q")), "node", "full_outer")
     over = F.exists(F.zip_with("p", "q", lambda p, q: F.coalesce(F.abs(p - q) > atol + rtol * F.abs(q), F.lit(True))), lambda v: v)
-    if bad := both.where(F.col("p").isNull() | F.col("q").isNull() | over).head(1):
+    return both.where(F.col("p").isNull() | F.col("q").isNull() | over).select("node")
+
+
+def assert_close(a: DataFrame, b: DataFrame, atol: float = 1e-4, rtol: float = 1e-4) -> None:
+    """Raise unless both (node, x) have the same nodes and |a - b| <= atol + rtol |b|."""
+    if bad := differences(a, b, atol, rtol).head(1):
         raise AssertionError(f"rows differ, first at node {bad[0].node}")
 
 

@@ -6,13 +6,18 @@ and is written to the shared folder, which bounds the lineage.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
 from ..functions.vectors import add
 
 ROOT = -1
+#: Links up to this number (a few MB) are handled by one task; more are joined. Both give the same result.
+FEW = 100_000
 
 
 def _roots_of(pointers: DataFrame) -> DataFrame:
@@ -26,51 +31,115 @@ def _roots_of(pointers: DataFrame) -> DataFrame:
         now = new.select("node", F.col("top").alias("ptr"))
 
 
-def _boruvka(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+def _kruskal(frame):
+    """The forest of a few links, cheapest first."""
+    import pandas as pd
+
+    up: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    out = []
+    order = frame.assign(inner=frame["a"] != ROOT).sort_values(["w", "inner", "a", "b"])
+    for x in order.itertuples(index=False):
+        p, q = top(x.ca), top(x.cb)
+        if p != q:
+            up[p] = q
+            out.append((x.a, x.b, x.w))
+    return pd.DataFrame(out, columns=["a", "b", "w"])
+
+
+def _boruvka(links: DataFrame, few: int = FEW, most_rounds: int = 64) -> DataFrame:
     """a, b, w: minimum spanning forest of ``links`` (a < b, w). Ties go to edges
     of the root (the least id), then to the least (a, b): a total order, so the
-    choice is repeatable and closes no cycle."""
+    choice is repeatable and closes no cycle. Once ``few`` links at most are left
+    between components, one task ends the search with the same choice."""
     live = materialize(links.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "links")
-    chosen = None
+    chosen = links.limit(0).select("a", "b", "w")
     for _ in range(most_rounds):
-        if live.isEmpty():
-            break
+        if live.limit(few + 1).count() <= few:
+            rest = live.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_kruskal, "a long, b long, w long")
+            return materialize(chosen.union(rest), "forest")
         order = F.struct("w", (F.col("a") != ROOT).cast("int").alias("inner"), "a", "b")
         sides = live.select(F.col("ca").alias("c"), F.col("cb").alias("o"), order.alias("k")).union(live.select("cb", "ca", order))
         picks = materialize(sides.groupBy("c").agg(F.min(F.struct("k", "o")).alias("p")).select("c", "p.k", "p.o"), "picks")
-        new = picks.select("k.a", "k.b", "k.w").distinct()
-        chosen = new if chosen is None else chosen.union(new)
+        chosen = materialize(chosen.union(picks.select("k.a", "k.b", "k.w").distinct()), "forest")
         back = picks.select(F.col("c").alias("o"), F.col("o").alias("oo"))
         pointers = picks.join(back, "o", "left").select(F.col("c").alias("node"), F.when((F.col("oo") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("ptr"))
         top = _roots_of(pointers)
         live = live.join(top.select(F.col("node").alias("ca"), F.col("top").alias("ta")), "ca").join(top.select(F.col("node").alias("cb"), F.col("top").alias("tb")), "cb")
         live = materialize(live.where("ta <> tb").select("a", "b", "w", F.col("ta").alias("ca"), F.col("tb").alias("cb")), "links")
+    raise RuntimeError("the forest did not settle")
+
+
+def _walked(frame):
+    """row and parent of a few links, from the root on."""
+    import pandas as pd
+
+    near: dict[int, list[int]] = {}
+    for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    out, todo = {}, [ROOT]
+    for p in todo:
+        for v in near.get(p, ()):
+            if v != ROOT and v not in out:
+                out[v] = p
+                todo.append(v)
+    return pd.DataFrame({"row": list(out), "p": list(out.values())}, dtype="int64")
+
+
+def _toured(links: DataFrame) -> DataFrame:
+    """row and p (its parent) by an Euler tour of each tree below the root, ranked by pointer doubling.
+
+    The arc into a row after the arc (u, v) is the one to v's next neighbour
+    after u. An arc leads away from the root if its tour passes it before its
+    reverse.
+    """
+    tops = links.where(F.col("a") == ROOT).select(F.col("b").alias("v"))
+    inner = links.where(F.col("a") != ROOT)
+    arcs = inner.select(F.col("a").alias("u"), F.col("b").alias("v")).union(inner.select("b", "a"))
+    by = W.partitionBy("v").orderBy("u")
+    first = F.first("u").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    after = arcs.select("u", "v", F.lead("u").over(by).alias("w"), first.alias("f"))
+    # a tour ends where it comes back to its top for the last time
+    ended = after.join(tops.withColumn("top", F.lit(True)), "v", "left").select("u", "v", F.coalesce("w", F.when(F.col("top").isNull(), F.col("f"))).alias("w"))
+    now = materialize(ended.select("u", "v", F.when(F.col("w").isNotNull(), F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).alias("nxt"), F.lit(1).cast("long").alias("rank")), "tour")
+    while not now.where("nxt is not null").isEmpty():
+        on = now.select(F.struct("u", "v").alias("nxt"), F.col("nxt").alias("further"), F.col("rank").alias("more"))
+        now = materialize(now.join(on, "nxt", "left").select("u", "v", F.col("further").alias("nxt"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "tour")
+    back = now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("rank").alias("back"))
+    down = now.join(back, ["u", "v"]).where("rank > back").select(F.col("v").alias("row"), F.col("u").alias("p"))
+    return down.union(tops.select("v", F.lit(ROOT).cast("long")))
+
+
+def orient_tree(links: DataFrame, few: int = FEW) -> DataFrame:
+    """row, parent, depth of an undirected tree (a < b) rooted at ``ROOT``; root
+    children have a null parent and depth 1.
+
+    ``few`` links at most are walked in one task; more take a number of joins
+    that follows the logarithm of the rows, whatever the depth.
+    """
+    links = materialize(links.select("a", "b"), "tree")
+    if links.limit(few + 1).count() <= few:
+        down = links.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_walked, "row long, p long")
     else:
-        raise RuntimeError("the forest did not settle")
-    return links.limit(0).select("a", "b", "w") if chosen is None else materialize(chosen.distinct(), "forest")
-
-
-def orient_tree(links: DataFrame, most_depth: int = 100_000) -> DataFrame:
-    """row, parent, depth of an undirected tree (a, b) rooted at ``ROOT``; root
-    children have a null parent and depth 1. One join a level."""
-    both = materialize(links.select(F.col("a").alias("p"), F.col("b").alias("row")).union(links.select("b", "a")), "tree")
-    front = materialize(both.where(F.col("p") == ROOT).select("row", F.lit(None).cast("long").alias("parent"), F.lit(1).alias("depth")), "level")
-    levels = [front]
-    for _ in range(most_depth):
-        nxt = both.join(front.select(F.col("row").alias("p"), F.col("parent").alias("above"), "depth"), "p").where((F.col("row") != ROOT) & ~F.col("row").eqNullSafe(F.col("above")))
-        front = materialize(nxt.select("row", F.col("p").alias("parent"), (F.col("depth") + 1).alias("depth")), "level")
-        if front.isEmpty():
-            break
-        levels.append(front)
-        if len(levels) == 32:
-            whole = levels[0]
-            for x in levels[1:]:
-                whole = whole.union(x)
-            levels = [materialize(whole, "levels")]
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+        down = _toured(links)
+    tree = materialize(down.select("row", F.when(F.col("p") != ROOT, F.col("p")).alias("parent")), "oriented")
+    return depths(tree)
+
+
+def depths(tree: DataFrame) -> DataFrame:
+    """row, parent, depth (1 below the root) of a table of row and parent, by pointer doubling."""
+    now = tree.select("row", "parent", F.lit(1).cast("long").alias("depth"), F.col("parent").alias("ptr"))
+    while not now.where("ptr is not null").isEmpty():
+        up = now.select(F.col("row").alias("ptr"), F.col("depth").alias("above"), F.col("ptr").alias("further"))
+        now = materialize(now.join(up, "ptr", "left").select("row", "parent", (F.col("depth") + F.coalesce("above", F.lit(0))).alias("depth"), F.col("further").alias("ptr")), "depths")
+    return now.select("row", "parent", F.col("depth").cast("int").alias("depth"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -90,46 +159,66 @@ def components(links: DataFrame) -> DataFrame:
 
 def least_arborescence(n: int, arcs: list[tuple[int, int, int]]) -> dict[int, int]:
     """child -> parent of the cheapest tree from node 0 over arcs (parent, child,
-    weight), by contracting cycles. Every node must be reachable from 0."""
-    best: dict[int, tuple[int, int, int]] = {}
-    for k, (p, c, w) in enumerate(arcs):
-        if c != 0 and p != c and (c not in best or (w, k) < best[c][:2]):
-            best[c] = (w, k, p)
-    state, cycle = [0] * n, []
-    for v in range(n):
-        path, u = [], v
-        while u != 0 and not state[u]:
-            state[u] = v + 1
-            path.append(u)
-            u = best[u][2]
-        if u != 0 and state[u] == v + 1 and u in path:
-            cycle = path[path.index(u) :]
-            break
-    if not cycle:
-        return {c: p for c, (_, _, p) in best.items()}
-    inside = set(cycle)
-    name, m = {}, 0
-    for v in range(n):
-        if v not in inside:
-            name[v], m = m, m + 1
-    small, back = [], []
-    for k, (p, c, w) in enumerate(arcs):
-        a, b = name.get(p, m), name.get(c, m)
-        if a != b:
-            small.append((a, b, w - best[c][0] if c in inside else w))
-            back.append(k)
-    chosen_parent = least_arborescence(m + 1, small)
-    out: dict[int, int] = {}
-    cheapest: dict[tuple[int, int], tuple[int, int]] = {}
-    for (a, b, w), k in zip(small, back, strict=True):
-        if (a, b) not in cheapest or (w, k) < cheapest[a, b]:
-            cheapest[a, b] = (w, k)
-    for b, a in chosen_parent.items():
-        p, c, _ = arcs[cheapest[a, b][1]]
-        out[c] = p
-    for v in cycle:
-        out.setdefault(v, best[v][2])
-    return out
+    weight), by contracting cycles. Every node must be reachable from 0.
+
+    A contracted cycle is a new node. Arcs into a node are a heap, whose weights
+    count from the node's own offset; of two heaps the smaller goes into the larger.
+    """
+    heaps: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for k, (_, c, w) in enumerate(arcs):
+        heaps[c].append((w, k))
+    for h in heaps:
+        heapq.heapify(h)
+    offset, up, same = [0] * n, [-1] * n, list(range(n))  # what all weights are more by; the cycle that holds it
+    best: list[int] = [-1] * n
+
+    def now(v: int) -> int:
+        while same[v] != v:
+            same[v] = same[same[v]]
+            v = same[v]
+        return v
+
+    state = [0] * n  # 1: on the walk, 2: settled
+    state[0] = 2
+    for start in range(1, n):
+        u, walk = now(start), []
+        while state[u] != 2:
+            if state[u] == 1:  # the walk has closed a cycle
+                members = [walk.pop()]
+                while members[-1] != u:
+                    members.append(walk.pop())
+                c = len(heaps)
+                large = max(members, key=lambda v: len(heaps[v]))
+                heap, base = heaps[large], offset[large]
+                for v in members:
+                    if v != large:
+                        for w, k in heaps[v]:
+                            heapq.heappush(heap, (w + offset[v] - base, k))
+                        heaps[v] = []
+                    up[v] = same[v] = c
+                heaps[large] = []
+                heaps.append(heap)
+                offset.append(base)
+                up.append(-1)
+                same.append(c)
+                best.append(-1)
+                state.append(0)
+                u = c
+            while now(arcs[heaps[u][0][1]][0]) == u:
+                heapq.heappop(heaps[u])
+            w, k = heaps[u][0]
+            best[u], state[u] = k, 1
+            offset[u] -= w + offset[u]  # another arc into u saves this one
+            walk.append(u)
+            u = now(arcs[k][0])
+        for v in walk:
+            state[v] = 2
+    for c in range(len(heaps) - 1, n - 1, -1):  # what enters a cycle enters one of its members
+        x = arcs[best[c]][1]
+        while up[x] != c:
+            x = up[x]
+        best[x] = best[c]
+    return {v: arcs[best[v]][0] for v in range(1, n)}
 
 
 def compression_tree(candidates: DataFrame, alpha: int = 0, method: str = "mst", largest: int = 5_000) -> DataFrame:
@@ -175,18 +264,20 @@ def _exact(cand: DataFrame, largest: int) -> DataFrame:
     return tree.withColumn("_p", F.coalesce("parent", F.lit(ROOT))).join(weights, ["_p", "row"]).select("row", "parent", "weight", "depth")
 
 
-def path_ancestors(tree: DataFrame) -> DataFrame:
-    """row, ancestor for every row and everything on its path to the root, itself included, by doubling."""
-    base = tree.select("row", "parent")
-    reach = materialize(base.select("row", F.col("row").alias("ancestor")).union(base.where("parent is not null").select("row", "parent")), "reach")
-    jump = materialize(base, "jump")
-    while True:
-        up = jump.select(F.col("row").alias("parent"), F.col("parent").alias("next"))
-        jump = materialize(jump.where("parent is not null").join(up, "parent").select("row", F.col("next").alias("parent")), "jump")
-        if jump.where("parent is not null").isEmpty():
-            return reach
-        more = jump.where("parent is not null").join(reach.select(F.col("row").alias("parent"), "ancestor"), "parent").select("row", "ancestor")
-        reach = materialize(reach.union(more).distinct(), "reach")
+def path_sums(tree: DataFrame, values: DataFrame) -> DataFrame:
+    """row, col, val: sums of ``values`` (row, col, val) along each row's path to the root; zeros are left out.
+
+    Pointer doubling on sparse rows: a sum over part of a path is the difference
+    of two rows, so what cancels goes at once.
+    """
+    sums = materialize(values.select("row", "col", F.col("val").cast("long").alias("val")), "sums")
+    jump = materialize(tree.select("row", "parent").where("parent is not null"), "jump")
+    while not jump.isEmpty():
+        above = jump.join(sums.withColumnRenamed("row", "parent"), "parent").select("row", "col", "val")
+        sums = materialize(sums.union(above).groupBy("row", "col").agg(F.sum("val").alias("val")).where("val <> 0"), "sums")
+        up = jump.select(F.col("row").alias("parent"), F.col("parent").alias("further"))
+        jump = materialize(jump.join(up, "parent").select("row", F.col("further").alias("parent")), "jump")
+    return sums
 
 
 def tree_update(tree: DataFrame, z: DataFrame) -> DataFrame:
