@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, map_batches, materialize, read, rows
+from .common import id_text, map_batches, materialize, read, rows, semi_join
 
 NAMES = (
     "log_bytes", "letters", "upper", "digits", "spaces", "breaks", "stops", "marks", "symbols", "controls", "entropy",
@@ -144,9 +144,16 @@ def apply(stats: DataFrame, model: Discriminant, threshold: float = 0.3) -> Data
 
 
 def learn(stats: DataFrame, labels: DataFrame, folds: int = 5, shrinkage: float = 0.1) -> Discriminant:
-    """Fit on documents' statistics and the labels outside the held-out fold."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(folds))
-    return fit(stats.join(known, "doc_id"), shrinkage)
+    """Fit on documents' statistics and the labels outside the held-out fold.
+
+    Label rows that repeat a doc_id count each, also where they contradict each other.
+    """
+    return fit(stats.join(usable(labels, folds), "doc_id"), shrinkage)
+
+
+def usable(labels: DataFrame, folds: int) -> DataFrame:
+    """doc_id and label of the rows that may be learned from."""
+    return labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(folds))
 
 
 def held_out(folds: int):
@@ -154,8 +161,13 @@ def held_out(folds: int):
 
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, shrinkage: float = 0.1) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score reaches ``threshold``. Texts are not shuffled."""
-    model = learn(materialize(document_statistics(docs), "statistics"), labels, folds, shrinkage)
+    """Rows of ``docs``, all columns, whose score reaches ``threshold``.
+
+    The fit reads the labelled texts alone, whose ids are broadcast up to a million.
+    """
+    ids = materialize(usable(labels, folds).select("doc_id").distinct(), "labelled")
+    stats = materialize(document_statistics(semi_join(docs, ids, ["doc_id"])), "statistics")
+    model = learn(stats, labels, folds, shrinkage)
 
     def run(batches: Iterator) -> Iterator:
         for batch in rows(batches, 2048):
