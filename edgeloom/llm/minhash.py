@@ -126,14 +126,14 @@ def _set_id(key: bytes | None) -> int | None:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
+    """ca and cb of the pairs (a, b, ca, cb) whose full sets reach the similarity."""
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), sets.select(F.col("id").alias("b"), F.col("s").alias("s2"))
     both = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("s1", "s2")))
-    return both.where(100 * F.col("common") >= percent * (F.size("s1") + F.size("s2") - F.col("common"))).select("a", "b")
+    return both.where(100 * F.col("common") >= percent * (F.size("s1") + F.size("s2") - F.col("common"))).select("ca", "cb").distinct()
 
 
 def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, with every pair of ``sets`` (id, s, component) of two components that may reach the similarity.
+    """a, b, ca, cb, with every pair of ``sets`` (id, s, component) of two components that may reach the similarity.
 
     Elements are in the order of how many sets have them, rarest first. Sets of
     n <= m elements that reach t share c >= t / (1 + t) * (n + m) of them, so the
@@ -158,23 +158,21 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     reach = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     may = (100 * F.col("n") >= t * F.col("m")) & ((100 + t) * reach >= t * (F.col("n") + F.col("m")))
     forget(flat)
-    return one.join(two, "x").where(order & (F.col("ca") != F.col("cb")) & may).select("a", "b").distinct()
+    return one.join(two, "x").where(order & (F.col("ca") != F.col("cb")) & may).select("a", "b", "ca", "cb").distinct()
 
 
-def link_sets(docs: DataFrame, members: DataFrame, words: int, percent: int, star_rounds: int = 4) -> DataFrame:
-    """id, component of every set in ``members`` (bucket, id, n) that links; ids are those of ``_set_id``.
+def link_sets(docs: DataFrame, members: DataFrame, words: int, percent: int, star_rounds: int = 2) -> DataFrame:
+    """id, component of every set in ``members`` (bucket, id, n); ids are those of ``_set_id``.
 
     Every two sets that share a bucket end in one component if they reach the
     similarity, and no others do unless through such links. ``star_rounds``
-    changes the way, not the result.
+    changes the way, not the result. What a round links are components of the
+    rounds before, so each search for components is among fewer nodes.
     """
-    spark = docs.sparkSession
     members = materialize(members, "members")
-    ids = materialize(members.select("id").distinct(), "ids")
+    state = materialize(members.select("id", F.col("id").alias("component")).distinct(), "ids")
     own = docs.select("text", "set_id").withColumnRenamed("set_id", "id")
-    sets = materialize(_sets(semi_join(own, ids, ["id"]).dropDuplicates(["id"]), words), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "id long, component long")
+    sets = materialize(_sets(semi_join(own, state, ["id"]).dropDuplicates(["id"]), words), "sets")
     left = members.withColumn("component", F.col("id"))
     near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     for turn in range(star_rounds + 1):
@@ -187,15 +185,16 @@ def link_sets(docs: DataFrame, members: DataFrame, words: int, percent: int, sta
             open_ids = materialize(left.select("id", "component").distinct(), "open")
             pairs = rare_pairs(sets.join(open_ids, "id"), percent)
         else:
-            pairs = left.where("id <> a").withColumnRenamed("id", "b").where((F.col("ca") != F.col("component")) & near).select("a", "b").distinct()
+            pairs = left.where("id <> a").select("a", F.col("id").alias("b"), "ca", F.col("component").alias("cb"), "n", "m").where((F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb").distinct()
         new = materialize(_verified(pairs, sets, percent), "verified")
         if not new.isEmpty():
-            links = links.union(new)
-            labels = materialize(connected_components(links).withColumnRenamed("node", "id"), "labels")
+            merged = connected_components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            state = state.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+            state = materialize(state.select("id", F.coalesce("into", "component").alias("component")), "labels")
         rest = left.where("id <> a").select("bucket", "id", "n")  # the first has met everyone
-        left = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("bucket", "id", "n", "component")
+        left = rest.join(state, "id").select("bucket", "id", "n", "component")
     forget(sets)
-    return labels
+    return state
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 48, per_band: int = 6) -> DataFrame:

@@ -19,7 +19,7 @@ def test_rarest_shingles_reach_every_pair(spark):
         base = range(100 * (k % 3), 100 * (k % 3) + rng.randint(20, 60))
         sets[k] = {x if rng.random() < 0.93 else 1000 + rng.randrange(60) for x in base}
     made = spark.createDataFrame([(k, [int(x) for x in s], k) for k, s in sets.items()], "id long, s array<long>, component long")
-    got = {tuple(sorted(r)) for r in minhash.rare_pairs(made, 80).collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in minhash.rare_pairs(made, 80).collect()}
     want = set(near(sets))
     assert want and want <= got and len(got) < len(list(combinations(sets, 2)))
 
