@@ -1,9 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). Raking scales the cells'
-token weights until their sums over each margin meet the targets; a document's
-probability is what its cell's weight calls for, at most 1. What full cells
-cannot give is spread over the others. Everything is DataFrame functions.
+token weights until their sums over each margin meet the targets, with the bound
+that no cell gives more than it has inside the loop; a document's probability
+is what its cell's weight calls for. Everything is DataFrame functions.
 
 Scale: one pass counts tokens by cell (partial sums, so a hot source costs one
 row a task); raking works on the cells alone. The cells are counted: up to
@@ -167,15 +167,15 @@ def draw(seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, fraction: float = 0.8, seed: int = 7, rounds: int = 10, within: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, fraction: float = 0.8, seed: int = 7, rounds: int = 10, within: bool = True) -> DataFrame:
     """Adds mix_source, mix_lang, mix_topic, mix_tokens, probability and sampled to ``docs``.
 
     ``docs`` has doc_id, text, lang and source. A document's draw depends on its
     id alone (columns of these names are replaced), so repeated rows are drawn together; a null id draws as the empty
     text. Null sources and languages are a level of their own. No rows give no
-    rows. ``within`` rakes with the bound inside the loop (``bounded``, ``rounds``
-    as there): goals are met as far as tokens reach, which cutting the raked
-    weights to 1 afterwards does not.
+    rows. Raking has the bound inside the loop (``bounded``): goals are met as far
+    as tokens reach. Without ``within``, weights are raked first and cut to 1
+    afterwards, which misses the margins.
     """
     known = with_tokens_and_topic(docs.drop("probability", "sampled"))
     by = known.groupBy(*[F.col(f"mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("mix_tokens").alias("tokens"))
@@ -199,25 +199,36 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("probability", 6).alias("probability"), "sampled")
 
 
-def oracle(power: float = 0.7, fraction: float = 0.8, seed: int = 7, rounds: int = 10, fills: int = 4) -> str:
+def oracle(power: float = 0.7, fraction: float = 0.8, seed: int = 7, rounds: int = 10) -> str:
     """The same as DuckDB SQL."""
+
+    def raised(step: str, source: str, by: str, value: str, bound: str, goal: str, order: str) -> str:
+        """``value`` times the factor by which least(bound, value) sums to ``goal`` over ``by``."""
+        part = f"PARTITION BY {by} " if by else ""
+        down = ", ".join(f"{x} DESC" for x in order.split(", "))
+        ratio = f"(SELECT *, CASE WHEN {value} > 0 THEN {bound} / {value} ELSE 0 END AS ratio FROM {source})"
+        fill = f"(SELECT *, ({goal} - (sum({bound}) OVER ({part}ORDER BY ratio, {order} ROWS UNBOUNDED PRECEDING) - {bound})) / nullif(sum({value}) OVER ({part}ORDER BY ratio DESC, {down} ROWS UNBOUNDED PRECEDING), 0) AS f FROM {ratio})"
+        factor = f"coalesce(max(CASE WHEN f <= ratio THEN greatest(f, 0) END) OVER ({part}), max(ratio) OVER ({part}))"
+        return f"{step} AS MATERIALIZED (SELECT * EXCLUDE ({value}, ratio, f), {value} * {factor} AS {value} FROM {fill})"
+
     ctes = [
         "d0 AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang FROM documents)",
         r"d1 AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM d0)",
         "d AS (SELECT doc_id, source, lang, CAST(words + 1 AS BIGINT) AS tokens, CASE WHEN n_lines >= 2 AND words < 15 * n_lines THEN 'lines' WHEN words < 60 THEN 'note' WHEN words < 500 THEN 'article' ELSE 'long' END AS topic FROM d1)",
-        "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3)",
-        *[f"g_{m} AS (SELECT {m}, pow(CAST(sum(tokens) AS DOUBLE), {power}) AS g FROM c GROUP BY 1)" for m in MARGINS],
-        "w0 AS (SELECT c.*, " + ", ".join(f"g_{m}.g / (SELECT sum(g) FROM g_{m}) AS goal_{m}" for m in MARGINS) + ", tokens / (SELECT CAST(sum(tokens) AS DOUBLE) FROM c) AS weight FROM c " + " ".join(f"JOIN g_{m} USING ({m})" for m in MARGINS) + ")",
+        "c AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY 1, 2, 3)",
+        f"b AS (SELECT *, tokens / ({fraction} * (SELECT sum(tokens) FROM c)) AS bound FROM c)",
     ]
+    for m in MARGINS:
+        ctes.append(f"g_{m} AS (SELECT {m} AS level, sum(bound) AS supply, pow(sum(tokens), {power}) AS g FROM b GROUP BY 1)")
+        ctes.append(f"h_{m} AS (SELECT level, supply, g / (SELECT sum(g) FROM g_{m}) AS goal FROM g_{m})")
+        ctes.append(raised(f"i_{m}", f"h_{m}", "", "goal", "supply", "1.0", "level"))
+        ctes.append(f"r_{m} AS (SELECT level AS {m}, least(goal, supply) AS reach_{m} FROM i_{m})")
+    ctes.append("w0 AS (SELECT *, tokens / (SELECT sum(tokens) FROM c) AS weight FROM b " + " ".join(f"JOIN r_{m} USING ({m})" for m in MARGINS) + ")")
     k = 0
     for _ in range(rounds):
-        for m in MARGINS:
-            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight), weight * goal_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight FROM w{k})")
+        for m in MARGINS[::-1]:
+            ctes.append(raised(f"w{k + 1}", f"w{k}", m, "weight", "bound", f"reach_{m}", ", ".join(MARGINS)))
             k += 1
-    ctes.append(f"f0 AS (SELECT *, FALSE AS is_full, CAST(0 AS DOUBLE) AS scale FROM w{k})")
-    for i in range(fills):
-        ctes.append(f"s{i} AS MATERIALIZED (SELECT ({fraction} * sum(tokens) - coalesce(sum(tokens) FILTER (is_full), 0)) / sum(weight) FILTER (NOT is_full) AS scale FROM f{i})")
-        ctes.append(f"f{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (is_full, scale), is_full OR coalesce((SELECT scale FROM s{i}), 0) * weight >= tokens AS is_full, coalesce((SELECT scale FROM s{i}), 0) AS scale FROM f{i})")
-    ctes.append(f"p AS (SELECT source, lang, topic, CASE WHEN is_full THEN 1.0 ELSE greatest(0.0, least(1.0, scale * weight / tokens)) END AS probability FROM f{fills})")
+    ctes.append(f"p AS (SELECT source, lang, topic, least(1.0, weight / bound) AS probability FROM w{k})")
     u = f"CAST('0x' || substr(md5('{seed}/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, source, lang, topic, tokens, CAST(round(probability, 6) AS DOUBLE) AS probability, {u} < probability AS sampled FROM d JOIN p USING (source, lang, topic)"

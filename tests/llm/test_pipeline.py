@@ -79,26 +79,36 @@ def drawn(docs):
         cell_of.append((source, lang, topic))
         cells[cell_of[-1]] = cells.get(cell_of[-1], 0) + n + 1
     total = sum(cells.values())
-    goals = []
+    bound = {c: n / (0.8 * total) for c, n in cells.items()}
+
+    def factor(pairs, goal):
+        """f of which the least of each bound and f times its value sum to the goal, by halving."""
+        if sum(b for b, _ in pairs) <= goal * (1 + 1e-12):
+            return max(b / v for b, v in pairs)
+        low, high = 0.0, max(b / v for b, v in pairs)
+        for _ in range(200):
+            f = (low + high) / 2
+            low, high = (f, high) if sum(min(b, f * v) for b, v in pairs) < goal else (low, f)
+        return high
+
+    reach = []
     for m in range(3):
-        by = {}
+        by, supply = {}, {}
         for c, t in cells.items():
             by[c[m]] = by.get(c[m], 0) + t
+            supply[c[m]] = supply.get(c[m], 0) + bound[c]
         power = {level: t**0.7 for level, t in by.items()}
-        goals.append({level: p / sum(power.values()) for level, p in power.items()})
+        goal = {level: p / sum(power.values()) for level, p in power.items()}
+        f = factor([(supply[x], goal[x]) for x in goal], 1.0)
+        reach.append({x: min(f * goal[x], supply[x]) for x in goal})
     weight = {c: t / total for c, t in cells.items()}
     for _ in range(10):
-        for m in range(3):
-            now = {}
-            for c, w in weight.items():
-                now[c[m]] = now.get(c[m], 0) + w
-            weight = {c: w * goals[m][c[m]] / now[c[m]] for c, w in weight.items()}
-    full = set()
-    for _ in range(4):
-        left = sum(w for c, w in weight.items() if c not in full)
-        scale = (0.8 * total - sum(cells[c] for c in full)) / left if left > 0 else 0
-        full |= {c for c in cells if scale * weight[c] >= cells[c]}
-    chance = {c: 1.0 if c in full else min(1.0, max(0.0, scale * weight[c] / cells[c])) for c in cells}
+        for m in (2, 1, 0):
+            for level, goal in reach[m].items():
+                own = [c for c in cells if c[m] == level]
+                f = factor([(bound[c], weight[c]) for c in own], goal)
+                weight |= {c: f * weight[c] for c in own}
+    chance = {c: min(1.0, weight[c] / bound[c]) for c in cells}
     number = lambda k: int(hashlib.md5(f"7/{'' if k is None else k}".encode()).hexdigest()[:13], 16) / 2**52
     return [d for d, c in zip(docs, cell_of, strict=True) if number(d[0]) < chance[c]]
 
