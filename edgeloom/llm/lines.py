@@ -18,6 +18,10 @@ Only lines that share a half with another line may have a neighbour (one edit
 leaves one half as it is), so halves are joined first, and variants are made
 for those lines alone.
 
+``max_edits`` 2 takes variants without two words as well, from every line: for
+each way in which two lines can be two edits apart there is a key under which
+all lines are (see ``_variants_of_two``), so again the earliest answers for all.
+
 Scale: keys are partial minima and joins on plain keys; what is shuffled are
 digests, and words only of lines that may have a neighbour.
 """
@@ -108,13 +112,101 @@ def _variants(lines: DataFrame) -> DataFrame:
     return map_batches(lines.select("key", *PLACE, "words"), run, "variant binary, place int, n int, key binary, doc_id long, _sub long, line int")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def within(a: list, b: list, most: int) -> bool:
+    """Whether two lists are at an edit distance of at most ``most``, by a band of the table of distances."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(most + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            ways = [row[j] + 1] if j in row else []
+            if j:
+                ways += [new[j - 1] + 1] if j - 1 in new else []
+                ways += [row[j - 1] + (x != b[j - 1])] if j - 1 in row else []
+            else:
+                ways.append(i)
+            new[j] = min(ways)
+        row = new
+    return row.get(len(b), most + 1) <= most
+
+
+def keys_of_two(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
+    """Keys of a line for two edits, each with its side.
+
+    Lines of side 0 are all within two edits of each other under a key: of one
+    length and the same words but for two places, or for one word each, wherever
+    it stands. Lines of side 1 are within two edits of those of side 2: two words
+    more, or one word more and another exchanged.
+    """
+    n = len(words)
+
+    def key(kind: str, rest: list[bytes]) -> bytes:
+        return xxhash.xxh3_128_digest(kind.encode() + b"/" + b" ".join(rest))
+
+    yield key(f"more/{n}", words), 2
+    for i in range(n):
+        one = words[:i] + words[i + 1 :]
+        yield key(f"any/{n}", one), 0
+        yield key(f"place/{n}/{i}", one), 2
+        for j in range(i, n - 1):  # word j of what is left
+            two = one[:j] + one[j + 1 :]
+            yield key(f"places/{n}/{i}/{j + 1}", two), 0
+            yield key(f"more/{n - 2}", two), 1
+        for j in range(n - 1):
+            yield key(f"place/{n - 1}/{j}", one[:j] + one[j + 1 :]), 1
+
+
+def _variants_of_two(lines: DataFrame) -> DataFrame:
+    def run(batches: Iterator) -> Iterator[dict]:
+        for batch in rows(batches, 16):
+            out: dict[str, list] = {k: [] for k in ("variant", "side", "key", *PLACE)}
+            for key, doc, sub, line, joined in zip(*[batch[c].to_pylist() for c in ("key", *PLACE, "words")], strict=True):
+                made = set(keys_of_two(joined.split(b" ")))
+                out["variant"] += [v for v, _ in made]
+                out["side"] += [x for _, x in made]
+                for k, v in (("key", key), ("doc_id", doc), ("_sub", sub), ("line", line)):
+                    out[k] += [v] * len(made)
+            yield out
+
+    return map_batches(lines.select("key", *PLACE, "words"), run, "variant binary, side int, key binary, doc_id long, _sub long, line int")
+
+
+def _pairs_of_two(lines: DataFrame) -> DataFrame:
+    """key and the earliest line (by) of each key that an earlier line of the other side, or of side 0, shares."""
+    forms = materialize(_variants_of_two(lines), "variants")
+    lead = [F.min(F.when(F.col("side") == k, F.struct(*PLACE, "key"))).alias(f"lead{k}") for k in range(3)]
+    leads = forms.groupBy("variant").agg(*lead, F.count(F.lit(1)).alias("size")).where("size > 1")
+    other = F.when(F.col("side") == 0, F.col("lead0")).when(F.col("side") == 1, F.col("lead2")).otherwise(F.col("lead1"))
+    met = forms.join(leads, "variant").withColumn("lead", other).where(F.struct(*[f"lead.{c}" for c in PLACE]) < F.struct(*PLACE))
+    return met.select("key", F.col("lead.key").alias("by")).distinct()
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, max_edits: int = 1) -> DataFrame:
     """key of each distinct line that has an earlier neighbour. ``firsts``: key, first (a place), halves."""
-    flat = firsts.where("halves is not null").select("key", F.explode("halves").alias("half"))
-    shared = flat.groupBy("half").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("half")
-    maybe = materialize(flat.join(shared, "half", "left_semi").select("key").distinct().join(firsts.select("key", "first.*"), "key"), "maybe")
+    able = firsts.where("halves is not null")
+    if max_edits == 1:
+        flat = able.select("key", F.explode("halves").alias("half"))
+        shared = flat.groupBy("half").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("half")
+        able = flat.join(shared, "half", "left_semi").select("key").distinct().join(firsts, "key")
+    maybe = materialize(able.select("key", "first.*"), "maybe")
     texts = _lines(semi_join(docs, maybe, ["doc_id"]), 0, True).select("key", "words").dropDuplicates(["key"])
     lines = materialize(maybe.join(texts, "key"), "lines")
+    pairs = _pairs_of_one(lines) if max_edits == 1 else _pairs_of_two(lines)
+
+    def check(batches: Iterator) -> Iterator[dict]:
+        for batch in rows(batches):
+            both = zip(batch["key"].to_pylist(), batch["words"].to_pylist(), batch["other"].to_pylist(), strict=True)
+            yield {"key": [k for k, a, b in both if (within_one(a.split(b" "), b.split(b" ")) if max_edits == 1 else within(a.split(b" "), b.split(b" "), max_edits))]}
+
+    found = pairs.join(lines.select("key", "words"), "key").join(lines.select(F.col("key").alias("by"), F.col("words").alias("other")), "by")
+    out = materialize(map_batches(found.select("key", "words", "other"), check, "key binary").distinct(), "near")
+    forget(lines)
+    return out
+
+
+def _pairs_of_one(lines: DataFrame) -> DataFrame:
+    """key and an earlier line (by) one word apart."""
     forms = materialize(_variants(lines), "variants")
     at, earliest = F.struct(*PLACE), F.min(F.struct(*PLACE, "key"))
     # one word exchanged: the same variant without the same place
@@ -126,36 +218,26 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     longer = swap.join(shorter, "variant")
     cut = longer.where(F.struct(*[f"short.{c}" for c in PLACE]) < at).select("key", F.col("short.key").alias("by"))
     grown = longer.where(at < F.struct(*[f"short.{c}" for c in PLACE])).groupBy(F.col("short.key").alias("key")).agg(earliest.alias("lead")).select("key", F.col("lead.key").alias("by"))
-    pairs = swapped.union(cut).union(grown).distinct()
-
-    def check(batches: Iterator) -> Iterator[dict]:
-        for batch in rows(batches):
-            both = zip(batch["key"].to_pylist(), batch["words"].to_pylist(), batch["other"].to_pylist(), strict=True)
-            yield {"key": [k for k, a, b in both if within_one(a.split(b" "), b.split(b" "))]}
-
-    found = pairs.join(lines.select("key", "words"), "key").join(lines.select(F.col("key").alias("by"), F.col("words").alias("other")), "by")
-    out = materialize(map_batches(found.select("key", "words", "other"), check, "key binary").distinct(), "near")
-    forget(forms, lines)
-    return out
+    return swapped.union(cut).union(grown).distinct()
 
 
 def duplicate_lines(docs: DataFrame, near_words: int = 8, max_edits: int = 1) -> DataFrame:
     """doc_id, _sub (which of the texts that share it), line (from 0) of every line that an earlier one makes superfluous.
 
-    ``max_edits`` is 0 (equal words only) or 1; lines of ``near_words`` words and
+    ``max_edits`` is 0 (equal words only), 1 or 2, whose variants grow with the square of a line's words; lines of ``near_words`` words and
     more have neighbours. Documents with a null doc_id have no place in the
     order: their lines are neither removed nor a reason to remove others. Null
     texts have no lines; rows that repeat a doc_id with the same text are one
     document, with different texts they are documents of their own.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
+    if max_edits not in (0, 1, 2):
+        raise ValueError("max_edits must be 0, 1 or 2")
     docs = (docs if "_sub" in docs.columns else with_sub(docs.select("doc_id", "text"))).select("doc_id", "_sub", "text")
     lines = materialize(_lines(docs, near_words, False), "lines")
     firsts = materialize(lines.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), F.any_value("halves").alias("halves")), "firsts")
     state = firsts.select("key", "first", F.lit(False).alias("near"))
     if max_edits:
-        near = near_lines(docs, firsts).withColumn("hit", F.lit(True))
+        near = near_lines(docs, firsts, max_edits).withColumn("hit", F.lit(True))
         state = firsts.select("key", "first").join(near, "key", "left").select("key", "first", F.coalesce("hit", F.lit(False)).alias("near"))
     judged = lines.select(*PLACE, "key").join(state, "key")
     return judged.where(F.col("near") | (F.struct(*PLACE) != F.col("first"))).select(*PLACE).distinct()

@@ -169,32 +169,53 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_lines_match_brute_force(spark):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, v in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, w in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (v != w))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits,shortest", [(1, 8), (1, 2), (2, 4), (2, 1)])
+def test_lines_match_brute_force(spark, edits, shortest):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abc", k=2))
     pool = [" ".join(word() for _ in range(rng.randint(1, 12))) for _ in range(12)]
     for p in list(pool):
-        w = p.split()
-        k = rng.randrange(len(w))
-        pool += [" ".join(w[:k] + w[k + 1 :]) or "z", " ".join([*w[:k], "new", *w[k:]]), " ".join([*w[:k], "sub", *w[k + 1 :]]), p.upper() + "  "]
+        for _ in range(edits):
+            w = p.split()
+            k = rng.randrange(len(w))
+            made = [" ".join(w[:k] + w[k + 1 :]) or "z", " ".join([*w[:k], "new", *w[k:]]), " ".join([*w[:k], "sub", *w[k + 1 :]]), p.upper() + "  "]
+            pool += made
+            p = made[rng.randrange(3)]
     texts = [(k, "\n".join(rng.choices([*pool, "", "  "], k=6))) for k in range(60)] + [(90, None), (91, ""), (None, pool[0])]
     all_lines = [(k, i, [w.lower() for w in x.split()]) for k, t in texts if k is not None for i, x in enumerate((t or "").split("\n"))]
     all_lines = sorted(x for x in all_lines if x[2])
     gone = set()
     for i, (k, n, w) in enumerate(all_lines):
         for _, _, v in all_lines[:i]:
-            if v == w or (len(v) >= 8 and len(w) >= 8 and lines.within_one(v, w)):
+            if v == w or (min(len(v), len(w)) >= shortest and distance(v, w) <= edits):
                 gone.add((k, n))
                 break
-    got = {(r.doc_id, r.line) for r in lines.duplicate_lines(table(spark, texts)).collect()}
+    got = {(r.doc_id, r.line) for r in lines.duplicate_lines(table(spark, texts), shortest, edits).collect()}
     assert got == gone
-    kept = {r.doc_id: r for r in lines.drop_duplicate_lines(table(spark, texts)).collect()}
+    kept = {r.doc_id: r for r in lines.drop_duplicate_lines(table(spark, texts), shortest, edits).collect()}
     for k, t in texts:
         want = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in gone)
         assert kept[k].text == want
     assert lines.drop_duplicate_lines(table(spark, [])).count() == 0
 
 
+def test_within():
+    rng = random.Random(4)
+    for _ in range(2000):
+        a, b = (rng.choices("ab", k=rng.randint(0, 6)) for _ in range(2))
+        for most in (0, 1, 2):
+            assert lines.within(a, b, most) == (distance(a, b) <= most), (a, b)
+
+
 def test_within_one():
     for a, b, same in (("", "", True), ("a", "", True), ("a b c", "a c", True), ("a b c", "a x c", True), ("a b c", "a x y", False), ("a b", "b a", False), ("a b c d", "a b", False)):
         assert lines.within_one(a.split(), b.split()) is same
@@ -210,6 +231,12 @@ def test_media_round_trip(spark):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        samples = list(payload)
+        mean = sum(samples) / len(samples)
+        spread = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+        shape, a, b, bins = r.feature.split(";")
+        assert shape == f"{len(payload) // 64}x64" and abs(float(a) - mean) < 1e-4 and abs(float(b) - spread) < 1e-3
+        assert bins == ",".join(str(sum(x // 16 == k for x in samples)) for k in range(16))
         assert (r.media_bytes, r.media_sha256) == (len(media.to_media(t)[1]), hashlib.sha256(media.to_media(t)[1]).hexdigest())
     shift = [set(d for d, _ in media.chunks_of(media.to_media(t)[1])) for _, t in texts[-2:]]
     assert len(shift[0] & shift[1]) > len(shift[0]) / 2
@@ -311,8 +338,8 @@ def test_raking_within_bounds_meets_the_margins(spark):
     # a level with too few tokens gives all it has; the margin's others rise alike
     short = {r.level: r for r in mixing.shares(mixing.materialize(mixing.bounded(cells, 0.8, {"source": {"a": 0.5, "b": 0.5}}), "short")).collect() if r.margin == "source"}
     assert abs(short["b"].achieved - 2400 / 8000) < 1e-3 and abs(short["a"].achieved - 0.7) < 1e-3 and short["a"].goal == 0.5
-    out = mixing.mix(table(spark, corpus()), within=True, rounds=4).collect()
-    assert len(out) == len(corpus()) and mixing.mix(table(spark, []), within=True, rounds=4).count() == 0
+    out = mixing.mix(table(spark, corpus()), within=False, rounds=4).collect()
+    assert len(out) == len(corpus()) and mixing.mix(table(spark, []), within=False, rounds=4).count() == 0
 
 
 def test_chunks_of_an_earlier_store_are_not_stored_again(spark):
