@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import embeddings, lines, media, minhash, mixing, packing, quality, repeats, scoring, token_store
+from . import bpe, embeddings, lines, media, minhash, mixing, packing, quality, repeats, scoring, token_store
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_scoring": scoring.op10_scoring,
+    "op13_bpe": bpe.op13_bpe,
 }
 
 #: Tokenizers, classifiers and mixing predictors have no SQL; tests compare
