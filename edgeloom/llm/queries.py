@@ -1,6 +1,6 @@
 """The subpackage's registered queries and their SQL."""
 
-from . import bpe, embeddings, lines, media, minhash, mixing, packing, quality, repeats, scoring, token_store
+from . import bpe, collocations, divergence, embeddings, lines, media, minhash, mixing, packing, quality, repeats, scoring, token_store
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_scoring": scoring.op10_scoring,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_collocations": collocations.op12_collocations,
     "op13_bpe": bpe.op13_bpe,
 }
 
@@ -24,4 +26,6 @@ ORACLES = {
     "op4_lines": lines.ORACLE,
     "op6_repeats": repeats.ORACLE,
     "op9_embeddings": embeddings.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
