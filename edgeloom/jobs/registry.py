@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compress as cm
 from ..operators import edges as ed
-from ..operators import gcn, normalize, report, similarity, tree
+from ..operators import aggregates, gcn, normalize, report, similarity, tree
 from ..operators import propagate as pr
 from ..functions.storage import materialize, new_path
 from ..sources.graphs import batch_graphs, read_coordinate_text, read_edges, write_table
@@ -98,6 +98,11 @@ def _(spark, d):
     return ed.to_rows(e, fx.sized(e)).select("row", "nnz", F.array_join(F.transform("entries.col", lambda c: c.cast("string")), ",").alias("cols"))
 
 
+@add("row_chunks", f"WITH {SUPP}, c AS (SELECT src, dst, (row_number() OVER (ORDER BY src, dst) - 1) // 9 AS cut FROM e) SELECT src AS row, CAST(cut - min(cut) OVER (PARTITION BY src) AS BIGINT) AS chunk, count(*) AS nnz, string_agg(dst, ',' ORDER BY dst) AS cols FROM c GROUP BY src, cut")
+def _(spark, d):
+    return ed.to_row_chunks(fx.part_supp(spark, d), 9).select("row", "chunk", "nnz", F.array_join(F.transform("entries.col", lambda c: c.cast("string")), ",").alias("cols"))
+
+
 @add("row_pointer", f"WITH {SUPP}, {NODES}, c AS (SELECT node AS row, count(dst) AS nnz FROM v LEFT JOIN e ON src = node GROUP BY 1) SELECT row, CAST(sum(nnz) OVER (ORDER BY row) - nnz AS BIGINT) AS ptr FROM c")
 def _(spark, d):
     e = fx.part_supp(spark, d)
@@ -217,6 +222,34 @@ def _(spark, d):
     return flat(out, 2)
 
 
+@add("propagate_hubs", f"WITH {DAY}, {NODES}, {DAYX} " + SUMS.format(a="dst", b="src"))
+def _(spark, d):
+    """Days send to users; the days with more than a fortieth of all edges are joined by broadcast."""
+    e = fx.user_day(spark, d)
+    n = fx.sized(e)
+    return flat(pr.propagate(e, fx.day_features(spark, n), n, 2, flow="target_to_source", hubs=40), 2)
+
+
+@add("propagate_largest", f"WITH {COP}, {NODES}, {PART}, m AS (SELECT dst AS node, arg_max(x, (x.x0 * x.x0 + x.x1 * x.x1, x.x0, x.x1)) AS x FROM e JOIN x ON src = x.node GROUP BY 1) SELECT v.node, coalesce(x.x0, 0) AS x0, coalesce(x.x1, 0) AS x1 FROM v LEFT JOIN m ON v.node = m.node")
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    return flat(pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2, aggregate=aggregates.Largest()), 2)
+
+
+@add("propagate_weighted_mean", f"WITH {COP}, {NODES}, {PART}, w AS (SELECT src, dst, (src + dst) % 5 AS w FROM e) SELECT v.node, round(coalesce(sum(w * x0) / nullif(sum(w), 0), 0), 6) AS x0, round(coalesce(sum(w * x1) / nullif(sum(w), 0), 0), 6) AS x1 FROM v LEFT JOIN (w JOIN x ON src = x.node) ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    n = fx.sized(e)
+    weighed = e.withColumn("far", ((F.col("src") + F.col("dst")) % 5).cast("double"))
+    return flat(pr.propagate(weighed, fx.part_features(spark, d), n, 2, message=lambda x_j: x_j, aggregate=aggregates.WeightedMean("far")), 2, 6)
+
+
+@add("propagate_soft_maximum", f"WITH {COP}, {NODES}, {PART}, t AS (SELECT dst AS node, max(x0) AS t0, max(x1) AS t1 FROM e JOIN x ON src = x.node GROUP BY 1) SELECT v.node, round(coalesce(sum(x0 * exp((x0 - t0) / 4)) / sum(exp((x0 - t0) / 4)), 0), 6) AS x0, round(coalesce(sum(x1 * exp((x1 - t1) / 4)) / sum(exp((x1 - t1) / 4)), 0), 6) AS x1 FROM v LEFT JOIN (e JOIN x ON src = x.node JOIN t ON dst = t.node) ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.copurchase(spark, d)
+    return flat(pr.propagate(e, fx.part_features(spark, d), fx.sized(e), 2, aggregate=aggregates.SoftMaximum(0.25)), 2, 6)
+
+
 @add("propagate_rectangular", f"WITH {SUPP}, {PART}, n AS (SELECT unnest(range((SELECT max(dst) + 1 FROM e))) AS node) SELECT n.node, coalesce(sum(x0), 0) AS x0, coalesce(sum(x1), 0) AS x1 FROM n LEFT JOIN (e JOIN x ON src = x.node) ON dst = n.node GROUP BY 1")
 def _(spark, d):
     e = fx.part_supp(spark, d)
@@ -298,6 +331,15 @@ def _(spark, d):
 
 PAIRS = "p AS (SELECT a.src AS u, b.src AS v, count(*) AS overlap FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2), z AS (SELECT src AS row, count(*) AS nnz FROM e GROUP BY 1), q AS (SELECT u, v, a.nnz AS nnz_u, b.nnz AS nnz_v, overlap, a.nnz + b.nnz - 2 * overlap AS h FROM p JOIN z a ON u = a.row JOIN z b ON v = b.row)"
 CAND = "SELECT u AS parent, v AS child, h AS weight FROM q WHERE h < nnz_v - {a} UNION ALL SELECT v, u, h FROM q WHERE h < nnz_u - {a} UNION ALL SELECT -1, row, nnz FROM z"
+#: The least tree over links and root edges of nnz - alpha for each alpha, grown from the root one row at a time (ties: root edges first); t has what each tree stores.
+GROWN = """z AS (SELECT src AS row, count(*) AS nnz FROM e GROUP BY 1),
+o AS (SELECT a.src AS u, b.src AS v, count(*) AS overlap FROM e a JOIN e b ON a.dst = b.dst AND a.src <> b.src GROUP BY 1, 2),
+h AS (SELECT u, v, a.nnz + b.nnz - 2 * overlap AS h, greatest(a.nnz, b.nnz) AS most FROM o JOIN z a ON u = a.row JOIN z b ON v = b.row),
+al AS (SELECT unnest([{alphas}]) AS alpha),
+k AS (SELECT alpha, u, v, h AS d, (h, 1, least(u, v), greatest(u, v)) AS k FROM h, al WHERE h < most - alpha UNION ALL SELECT alpha, -1, row, nnz, (nnz - alpha, 0, -1, row) FROM z, al),
+g AS (SELECT alpha, [CAST(-1 AS BIGINT)] AS seen, 0::BIGINT AS deltas FROM al
+  UNION ALL SELECT g.alpha, list_append(g.seen, arg_min(k.v, k.k)), g.deltas + arg_min(k.d, k.k) FROM g JOIN k ON k.alpha = g.alpha AND list_contains(g.seen, k.u) AND NOT list_contains(g.seen, k.v) GROUP BY g.alpha, g.seen, g.deltas),
+t AS (SELECT alpha, max(deltas) AS deltas FROM g GROUP BY 1)"""
 
 
 @add("row_overlap", f"WITH {DAY}, {PAIRS} SELECT u, v, overlap FROM p")
@@ -354,15 +396,29 @@ def _(spark, d):
     return flat(tree.tree_update(t, fx.day_features(spark, n)), 2)
 
 
-@add("compression_tree", f"WITH {DAY}, z AS (SELECT src AS row, count(*) AS nnz FROM e GROUP BY 1) SELECT count(*) AS n_rows, TRUE AS one_parent_each, TRUE AS legal, TRUE AS weights_are_deltas FROM z")
+@add("compression_tree", f"WITH RECURSIVE {DAY}, {GROWN.format(alphas=0)} SELECT (SELECT count(*) FROM z) AS n_rows, deltas AS total, TRUE AS one_parent_each, TRUE AS legal, TRUE AS weights_are_deltas FROM t")
 def _(spark, d):
     e = fx.user_day(spark, d)
     cand = similarity.candidate_edges(e, 0)
     t = tree.compression_tree(cand, 0)
     deltas = cm.row_deltas(e, t).agg(F.count(F.lit(1)).alias("deltas"))
     legal = t.withColumn("p", F.coalesce("parent", F.lit(-1))).join(cand.select(F.coalesce("parent", F.lit(-1)).alias("p"), F.col("child").alias("row")), ["p", "row"], "left_semi").agg(F.count(F.lit(1)).alias("legal"))
-    sums = t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row").alias("ids"), F.sum("weight").alias("w"))
-    return sums.join(deltas).join(legal).select("n_rows", (F.col("ids") == F.col("n_rows")).alias("one_parent_each"), (F.col("legal") == F.col("n_rows")).alias("legal"), (F.col("w") == F.col("deltas")).alias("weights_are_deltas"))  # one row each
+    sums = t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row").alias("ids"), F.sum("weight").alias("total"))
+    return sums.join(deltas).join(legal).select("n_rows", "total", (F.col("ids") == F.col("n_rows")).alias("one_parent_each"), (F.col("legal") == F.col("n_rows")).alias("legal"), (F.col("total") == F.col("deltas")).alias("weights_are_deltas"))  # one row each
+
+
+@add("rising_forest", f"WITH RECURSIVE {DAY}, {GROWN.format(alphas=2)} SELECT (SELECT count(*) FROM z) AS n_rows, deltas AS total FROM t")
+def _(spark, d):
+    e = materialize(fx.user_day(spark, d), "edges")
+    forest, _ = similarity.rising_forest(e, 2)
+    rows = e.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("nnz"))
+    return tree.tree_of_links(forest, rows, 2).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("weight").alias("total"))
+
+
+@add("rising_decompress", f"WITH {SUPP} SELECT src, dst FROM e")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return cm.decompress(cm.compress(e, fx.sized(e), 0, search="rising"))
 
 
 @add("decompress", f"WITH {DAY} SELECT src, dst FROM e")
@@ -371,6 +427,12 @@ def _(spark, d):
     return cm.decompress(cm.compress(e, fx.sized(e), 2))
 
 
+@add("decompress_merged", f"WITH {SUPP} SELECT src, dst FROM e")
+def _(spark, d):
+    e = fx.part_supp(spark, d)
+    return cm.decompress(cm.compress(e, fx.sized(e), 2, method="merged"))
+
+
 @add("decompress_orders", f"WITH {ORD} SELECT src, dst FROM e")
 def _(spark, d):
     e = fx.order_part(spark, d)
@@ -409,6 +471,15 @@ def _(spark, d):
     return sizes.select(F.lit(n).cast("long").alias("n"), "n_edges", "n_deltas", F.round(cm.compression_ratio(F.lit(n), F.col("n_edges"), F.col("n_deltas")), 9).alias("ratio"))
 
 
+@add("compression_ratio_days", f"WITH RECURSIVE {DAY}, {GROWN.format(alphas=2)}, n AS (SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS e FROM e) SELECT n, e AS n_edges, deltas AS n_deltas, round((n + 1 + 2 * e) / CAST(3 * n + 3 + 2 * deltas AS DOUBLE), 9) AS ratio FROM n, t")
+def _(spark, d):
+    e = materialize(fx.user_day(spark, d), "edges")
+    n = fx.sized(e)
+    stored = cm.compress(e, n, 2).deltas.agg(F.count(F.lit(1)).alias("n_deltas"))
+    sizes = e.agg(F.count(F.lit(1)).alias("n_edges")).join(stored)  # one row each
+    return sizes.select(F.lit(n).cast("long").alias("n"), "n_edges", "n_deltas", F.round(cm.compression_ratio(F.lit(n), F.col("n_edges"), F.col("n_deltas")), 9).alias("ratio"))
+
+
 @add("delta_layout", f"WITH {DAY}, {CHAIN}, {NODES} SELECT v.node AS row, count(r.col) AS nnz, coalesce(string_agg(CASE WHEN val > 0 THEN '+' ELSE '-' END || col, ',' ORDER BY col), '') AS entries FROM v LEFT JOIN r ON r.row = v.node GROUP BY 1")
 def _(spark, d):
     e = fx.user_day(spark, d)
@@ -510,9 +581,27 @@ def _(spark, d):
     return report.long(report.wide(_metrics(spark, d), ["A", "N", "R"]), ["A", "N", "R"])
 
 
-@add("alpha_sweep", f"WITH {DAY}, {PAIRS}, a AS (SELECT unnest([0, 2, 8]) AS alpha), n AS (SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS k FROM e), c AS (SELECT alpha, count(*) FILTER (h < nnz_v - alpha) + count(*) FILTER (h < nnz_u - alpha) AS candidates FROM q CROSS JOIN a GROUP BY 1) SELECT alpha, candidates, TRUE AS fewer_than_edges, TRUE AS ratio_of_deltas FROM c")
+@add("alpha_sweep", f"WITH RECURSIVE {DAY}, {GROWN.format(alphas='0, 2, 8')}, n AS (SELECT max(greatest(src, dst)) + 1 AS n, count(*) AS e FROM e), c AS (SELECT al.alpha, count(*) AS candidates FROM h JOIN z ON z.row = h.v JOIN al ON h.h < z.nnz - al.alpha GROUP BY 1) SELECT t.alpha, candidates, deltas, round((n + 1 + 2 * e) / CAST(3 * n + 3 + 2 * deltas AS DOUBLE), 9) AS ratio FROM t JOIN c USING (alpha), n")
+def _(spark, d):
+    e = materialize(fx.user_day(spark, d), "edges")
+    return cm.alpha_sweep(e, fx.sized(e), [0, 2, 8]).withColumn("ratio", F.round("ratio", 9))
+
+
+# One compressed form for several uses
+
+
+@add("propagate_stored_form", f"WITH {DAY}, {NODES}, {DAYX} " + SUMS.format(a="src", b="dst"))
 def _(spark, d):
+    """A form is written, read, and used for the edges it was made of."""
     e = materialize(fx.user_day(spark, d), "edges")
-    n, k = fx.sized(e), e.count()
-    sweep = cm.alpha_sweep(e, n, [0, 2, 8])
-    return sweep.select("alpha", "candidates", (F.col("deltas") < k).alias("fewer_than_edges"), (F.abs(F.col("ratio") * (3 * n + 3 + 2 * F.col("deltas")) - (n + 1 + 2 * k)) < 1e-6).alias("ratio_of_deltas"))
+    n, path = fx.sized(e), new_path(spark, "form")
+    cm.compress(ed.transpose(e), n, 2).write(path)
+    return flat(pr.propagate(e, fx.day_features(spark, n), n, 2, strategy="compressed", form=cm.Compressed.read(spark, path)), 2)
+
+
+@add("gcn_model_compressed", f"WITH {DAY}, {NODES}, {DAYX}, {LOOPS}, {LIN}, {LAYER}, r AS (SELECT node, greatest(x0, 0) + greatest(x1, 0) AS x0 FROM y) SELECT v.node, round(coalesce(sum(w * x0), 0), 5) AS x0 FROM v LEFT JOIN (a JOIN r ON src = r.node) ON dst = v.node GROUP BY 1")
+def _(spark, d):
+    e = fx.user_day(spark, d)
+    n = fx.sized(e)
+    looped = materialize(ed.add_self_loops(e, n), "looped")
+    return flat(gcn.gcn_model(looped, fx.day_features(spark, n), [W1, W2], n, strategy="compressed"), 1, 5)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+
 
 def num_nodes(edges: DataFrame) -> int:
     """Largest id + 1; 0 without edges."""
@@ -66,6 +68,30 @@ def to_rows(edges: DataFrame, n: int) -> DataFrame:
     return nodes.join(packed, "row", "left").select("row", F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("nnz"), F.coalesce("entries", none).alias("entries"))
 
 
+def to_row_chunks(edges: DataFrame, size: int = 65_536, n: int | None = None) -> DataFrame:
+    """row, chunk (from 0), nnz, entries: each row in chunks of at most ``size`` sorted entries, so that a row of any length is never in one list.
+
+    Edges are sorted by (src, dst) over all tasks and cut at every ``size``-th
+    place, and where a row ends. ``to_edges`` takes chunks as it takes rows. With
+    ``n``, rows under it without entries have one empty chunk.
+    """
+    val = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    ordered = edges.select("src", "dst", val.alias("val")).where("src is not null").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    marked = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33)
+    sizes = marked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k"))
+    starts = sizes.select("part", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("start"))  # a row for each task of the sort
+    placed = marked.withColumn("part", part).join(F.broadcast(starts), "part")
+    cut = placed.select("src", "dst", "val", F.floor((F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) / size).alias("cut"))
+    packed = cut.groupBy("src", "cut").agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("col"), "val"))).alias("entries"))
+    first = cut.groupBy("src").agg(F.min("cut").alias("first"))
+    chunks = packed.join(first, "src").select(F.col("src").alias("row"), (F.col("cut") - F.col("first")).alias("chunk"), F.size("entries").cast("long").alias("nnz"), "entries")
+    if n is None:
+        return chunks
+    empty = edges.sparkSession.range(n).withColumnRenamed("id", "row").join(first.select(F.col("src").alias("row")), "row", "left_anti")
+    return chunks.unionByName(empty.select("row", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("nnz"), F.array().cast("array<struct<col: bigint, val: double>>").alias("entries")))
+
+
 def row_pointer(rows: DataFrame, span: int = 65_536) -> DataFrame:
     """row, ptr: entries before each row."""
     return sums_before(rows.select("row", "nnz"), "row", "nnz", "ptr", span)

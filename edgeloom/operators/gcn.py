@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
 from ..functions.vectors import relu as relu_column
-from .compress import Compressed
+from .compress import Compressed, compress
 from .normalize import normalize_edges
-from .propagate import propagate
+from .propagate import fill_nodes, propagate
 
 
 def glorot(n_out: int, n_in: int, seed: int = 0) -> np.ndarray:
@@ -49,13 +49,27 @@ def compressed_gcn_layer(c: Compressed, x: DataFrame, w: np.ndarray) -> DataFram
     return c.matmul(linear(x, w), len(w))
 
 
-def gcn_model(edges: DataFrame, x: DataFrame, weights: list[np.ndarray], n: int) -> DataFrame:
-    """Two layers or more, relu between them; edge weights are computed once."""
+def gcn_model(edges: DataFrame, x: DataFrame, weights: list[np.ndarray], n: int, strategy: str = "direct", form: Compressed | None = None, alpha: int = 2) -> DataFrame:
+    """Two layers or more, relu between them; edge weights are computed once.
+
+    ``strategy`` ``compressed`` multiplies by a normalised compressed form, built
+    once for all layers, or by ``form``, one of the edges as target -> source
+    that was built (and perhaps written) before; a form of other edges raises.
+    """
     if len(weights) < 2:
         raise ValueError("a model has two layers at least")
-    weighted = materialize(normalize_edges(edges), "weighted")
+    if strategy == "compressed":
+        rows = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        form = form or compress(rows, n, alpha, normalized=True)
+        form.check_source(rows, normalized=True)
+        layer = lambda x, w: fill_nodes(compressed_gcn_layer(form, x, w), n, len(w))
+    elif strategy == "direct":
+        weighted = materialize(normalize_edges(edges), "weighted")
+        layer = lambda x, w: gcn_layer(weighted, x, w, n, normalized=True)
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
     for k, w in enumerate(weights):
-        x = gcn_layer(weighted, x, w, n, normalized=True)
+        x = layer(x, w)
         x = relu(x) if k + 1 < len(weights) else x
     return x
 

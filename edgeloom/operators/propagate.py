@@ -9,21 +9,45 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import reduce_vectors, scale, zeros
-from .edges import num_nodes
-from .normalize import normalize_edges
+from .aggregates import WholeAggregate
+from .edges import num_nodes, transpose
+from .normalize import normalize_adjacency, normalize_edges
+
+if TYPE_CHECKING:
+    from .compress import Compressed
 
 ENDS = {"source_to_target": ("src", "dst"), "target_to_source": ("dst", "src")}
 
 
-def gather(edges: DataFrame, x: DataFrame, side: str = "src") -> DataFrame:
-    """Edges with the features of one end: x_j for src, x_i for dst."""
+def gather(edges: DataFrame, x: DataFrame, side: str = "src", hubs: int | None = None) -> DataFrame:
+    """Edges with the features of one end: x_j for src, x_i for dst. ``hubs`` as in ``join_features``."""
     name = "x_j" if side == "src" else "x_i"
-    return edges.join(x.select(F.col("node").alias(side), F.col("x").alias(name)), side)
+    return join_features(edges, x.select(F.col("node").alias(side), F.col("x").alias(name)), side, hubs)
+
+
+def join_features(edges: DataFrame, x: DataFrame, on: str, hubs: int | None = None) -> DataFrame:
+    """``edges`` joined with ``x`` on a node's id.
+
+    With ``hubs``, the nodes that have more than one in ``hubs`` of all edges (so
+    fewer than ``hubs`` nodes) are joined by a broadcast of their rows of ``x``, and
+    only the edges of the others are shuffled. That takes a pass over the edges.
+    """
+    if hubs is None:
+        return edges.join(x, on)
+    counts = edges.groupBy(on).agg(F.count(F.lit(1)).alias("k"))
+    total = edges.count()
+    found = [r[0] for r in counts.where((F.col("k") > total / hubs) & F.col(on).isNotNull()).select(on).collect()]  # fewer than ``hubs``
+    if not found:
+        return edges.join(x, on)
+    few = F.broadcast(edges.sparkSession.createDataFrame([(v,) for v in found], f"{on} long"))
+    hot = edges.join(few, on, "left_semi").join(F.broadcast(x.join(few, on, "left_semi")), on)
+    return hot.unionByName(edges.join(few, on, "left_anti").join(x, on))
 
 
 def fill_nodes(sums: DataFrame, n: int, width: int) -> DataFrame:
@@ -58,23 +82,24 @@ def spmv(edges: DataFrame, v: DataFrame, n: int) -> DataFrame:
     return nodes.join(sums, "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def _hooked(edges: DataFrame, x: DataFrame, source: str, target: str, message: Callable[..., Column]) -> tuple[DataFrame, Column]:
-    """Edges with what a message hook asks for by its arguments' names, and its message."""
-    names = list(inspect.signature(message).parameters)
+def _hooked(edges: DataFrame, x: DataFrame, source: str, target: str, message: Callable[..., Column], wants: tuple[str, ...] = (), hubs: int | None = None) -> tuple[DataFrame, list[Column]]:
+    """Edges with what a message hook asks for by its arguments' names, its message, and the columns that an aggregate ``wants``."""
+    own = list(inspect.signature(message).parameters)
+    names = own + list(wants)
     base = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
     base = base.select(*[F.col(c).alias(f"_e_{c}") for c in base.columns])
     for end, mark in ((source, "j"), (target, "i")):
         wanted = sorted({n[:-2] for n in names if n.endswith(f"_{mark}")})
         if wanted or mark == "j":
             side = x.select(F.col("node").alias(f"_e_{end}"), *[F.col(c).alias(f"_{mark}_{c}") for c in wanted])
-            base = base.join(side, f"_e_{end}", "inner" if mark == "j" else "left")
+            base = join_features(base, side, f"_e_{end}", hubs) if mark == "j" else base.join(side, f"_e_{end}", "left")
 
     def column(name: str) -> Column:
         if name.endswith(("_i", "_j")):
             return F.col(f"_{name[-1]}_{name[:-2]}")
         return F.col("_e_weight" if name == "edge_weight" else f"_e_{name}")
 
-    return base, message(*[column(n) for n in names])
+    return base, [message(*[column(n) for n in own]).alias("x"), *[column(n).alias(n) for n in wants]]
 
 
 def propagate(
@@ -84,10 +109,12 @@ def propagate(
     width: int,
     flow: str = "source_to_target",
     message: Callable[..., Column] | None = None,
-    aggregate: Callable[[Column], Column] = F.sum,
+    aggregate: Callable[[Column], Column] | WholeAggregate = F.sum,
     normalize: bool = False,
     strategy: str = "direct",
     alpha: int = 2,
+    form: Compressed | None = None,
+    hubs: int | None = None,
 ) -> DataFrame:
     """Collect, message, aggregate over every edge; ``flow`` is always honoured.
 
@@ -98,11 +125,16 @@ def propagate(
     are chosen by name: ``x_j`` and ``x_i`` are the features of the sending and the
     receiving node, and so any column of ``x`` with ``_j`` or ``_i``; other names are
     columns of ``edges`` (``weight``, also as ``edge_weight``, is 1 where there is none).
-    ``aggregate`` is applied to each component.
+    ``aggregate`` is applied to each component, or to whole messages if it is one of
+    ``aggregates``. ``hubs`` spreads senders of very many edges (``join_features``);
+    receivers of very many get partial sums of each task.
 
-    ``normalize`` weights edges by the degrees on the receiving side. ``strategy``
+    ``normalize`` weights edges by the degrees on the receiving side, or scales the
+    weights that they have by their sums there; other columns stay. ``strategy``
     ``compressed`` multiplies by the compressed matrix (``alpha`` as there): the same
-    sums for edges without weights, messages and other aggregates.
+    sums for edges without weights, messages and other aggregates. Its edges must be
+    distinct. A ``form`` made before (of the edges as receiving node -> sending
+    node) is used again; one of other edges raises.
     """
     source, target = ENDS[flow]
     sizes = size if isinstance(size, tuple) else (size, size)
@@ -114,22 +146,20 @@ def propagate(
         from .compress import compress
 
         rows = edges.select(F.col(target).alias("src"), F.col(source).alias("dst"))
-        whole = num_nodes(rows)
-        made = compress(rows, whole, alpha, normalized=normalize).matmul(x, width)
-        return fill_nodes(made, n, width)
+        form = form or compress(rows, num_nodes(rows), alpha, normalized=normalize)
+        form.check_source(rows, normalize)
+        return fill_nodes(form.matmul(x, width), n, width)
     if strategy != "direct":
         raise ValueError(f"unknown strategy {strategy}")
     if normalize:
-        turned = normalize_edges(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")))
-        edges = turned.select(F.col("src").alias(source), F.col("dst").alias(target), "weight")
-    if message is None:
-        weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-        base = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t"), weight.alias("_w")).join(x.select(F.col("node").alias("_s"), F.col("x").alias("_xj")), "_s")
-        sent = base.select(F.col("_t").alias("node"), scale(F.col("_xj"), F.col("_w")).alias("x"))
-    else:
-        base, out = _hooked(edges, x, source, target, message)
-        sent = base.select(F.col(f"_e_{target}").alias("node"), out.alias("x"))
-    return fill_nodes(reduce_vectors(sent, "node", "x", width, aggregate), n, width)
+        scaled = normalize_adjacency if "weight" in edges.columns else normalize_edges
+        edges = scaled(edges) if source == "src" else transpose(scaled(transpose(edges)))
+    message = message or (lambda x_j, edge_weight: scale(x_j, edge_weight))
+    wants = aggregate.wants if isinstance(aggregate, WholeAggregate) else ()
+    base, columns = _hooked(edges, x, source, target, message, wants, hubs)
+    sent = base.select(F.col(f"_e_{target}").alias("node"), *columns)
+    sums = aggregate.apply(sent, width) if isinstance(aggregate, WholeAggregate) else reduce_vectors(sent, "node", "x", width, aggregate)
+    return fill_nodes(sums, n, width)
 
 
 def feature_gradient(edges: DataFrame, g: DataFrame, n: int, width: int) -> DataFrame:

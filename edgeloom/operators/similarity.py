@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
+from .tree import FEW, _boruvka, forest_components
+
+#: Columns that are bits of a bitmap, at most; rows of a block of bitmaps.
+MOST_HEAVY, BLOCK_ROWS = 1_024, 2_048
+
+
+def row_overlap(edges: DataFrame, share: float = 1 / 16, least: int = 64) -> DataFrame:
+    """u < v, overlap: columns that two rows share, for every pair that shares any.
+
+    Columns that more than ``share`` of the rows have (and ``least`` rows; the
+    ``MOST_HEAVY`` most frequent of them) are heavy. Pairs that share other
+    columns come from a join on these. Heavy columns are bits of a bitmap of
+    each row; rows are dealt into blocks, every two blocks meet once, and a pair's
+    common bits are counted there, so that it is one row however many heavy columns
+    it shares, and a column that all rows have is spread over all tasks.
+    Null ids share nothing.
+    """
+    edges = edges.select("src", "dst").where("src is not null and dst is not null")
+    rows = edges.select("src").distinct().count()
+    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("d"))
+    heavy = [r.dst for r in degrees.where(F.col("d") > max(share * rows, least)).orderBy(F.desc("d"), "dst").limit(MOST_HEAVY).collect()]
+    if not heavy:
+        return _light_overlap(edges)
+    bits = edges.sparkSession.createDataFrame(list(enumerate(heavy)), "bit int, dst long")
+    light = _light_overlap(edges.join(F.broadcast(bits), "dst", "left_anti"))
+    both = _heavy_overlap(edges.join(F.broadcast(bits), "dst"), len(heavy), max(8, -(-rows // BLOCK_ROWS)))  # 1,024 rows at most
+    return light.union(both).groupBy("u", "v").agg(F.sum("overlap").alias("overlap"))
 
-def row_overlap(edges: DataFrame) -> DataFrame:
-    """u < v, overlap: columns that two rows share, for every pair that shares any."""
+
+def _light_overlap(edges: DataFrame) -> DataFrame:
     a = edges.select(F.col("dst").alias("col"), F.col("src").alias("u"))
     b = edges.select(F.col("dst").alias("col"), F.col("src").alias("v"))
     return a.join(b, "col").where("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def _heavy_overlap(edges: DataFrame, n_bits: int, blocks: int) -> DataFrame:
+    """The same over edges of numbered columns (bit), by bitmaps: rows of block p and of block q >= p meet under (p, q)."""
+    words = [f"w{k}" for k in range(-(-n_bits // 64))]
+    maps = edges.groupBy(F.col("src").alias("row")).agg(*[F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * k, 64 * k + 63), F.expr("shiftleft(1L, bit % 64)"))), F.lit(0)).cast("long").alias(w) for k, w in enumerate(words)])
+    maps = maps.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    one = maps.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("q"), F.col("row").alias("u"), *[F.col(w).alias(f"u_{w}") for w in words])
+    two = maps.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("p"), F.col("block").alias("q"), F.col("row").alias("v"), *[F.col(w).alias(f"v_{w}") for w in words])
+    common = reduce(add, [F.bit_count(F.col(f"u_{w}").bitwiseAND(F.col(f"v_{w}"))) for w in words]).cast("long")
+    met = one.join(two, ["p", "q"]).where("(p < q or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), common.alias("overlap"))
+    return met.where("overlap > 0")
+
+
 def _sizes(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("nnz"))
 
@@ -45,6 +88,73 @@ def pruned_overlap(edges: DataFrame, alpha: int) -> DataFrame:
     return full.select("u", "v", F.size(F.array_intersect("cu", "cv")).cast("long").alias("overlap"))
 
 
+def _ranked(edges: DataFrame, alpha: int) -> DataFrame:
+    """src, dst, at (place of the column in its row, rarest columns first), nnz, most (last place of a first common column, where the row is the smaller of a link). Written; rows of ``alpha`` columns or less are in no link."""
+    freq = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("freq"))
+    joined = edges.join(freq, "dst").join(_sizes(edges).withColumnRenamed("row", "src"), "src").where(F.col("nnz") > alpha)
+    at = F.row_number().over(W.partitionBy("src").orderBy("freq", "dst"))
+    most = F.col("nnz") - F.floor((F.col("nnz") + alpha) / 2)
+    return materialize(joined.select("src", "dst", at.cast("long").alias("at"), "nnz", most.alias("most")), "ranked")
+
+
+def rising_forest(edges: DataFrame, alpha: int = 0, first: int = 1, growth: int = 4, few: int = FEW) -> tuple[DataFrame, list[dict]]:
+    """The minimum spanning forest of all links between rows, found by rising distance.
+
+    Returns a, b, w (a < b), written, to which root edges of nnz - alpha may be added
+    for the tree; and for each tier its bound, the rows joined, the pairs verified
+    and the links found. ``edges`` (src, dst) are distinct and without nulls. A link
+    is a pair with h < max(nnz) - alpha.
+
+    A tier makes all pairs within a distance. Before the first column that two
+    such rows share, under one order with the rarest first, there are ``bound``
+    columns of the two together, at most; so only these places are joined. Once
+    the links are in the forest, a component whose least root edge is at most
+    bound + 1 has nothing to gain from longer links and makes no more pairs; one
+    with a larger edge looks no further than that. So loose pairs are never made,
+    and columns that most rows have are in few rows' first places.
+    """
+    spark, ranked = edges.sparkSession, _ranked(edges, alpha)
+    sizes = materialize(ranked.groupBy(F.col("src").alias("row")).agg(F.first("nnz").alias("nnz")), "sizes")
+    forest = materialize(spark.createDataFrame([], "a long, b long, w long"), "forest")
+    seen = materialize(spark.createDataFrame([], "u long, v long, h long, nnz long"), "seen")
+    tiers, bound, before = [], first, -1
+    while True:
+        parts = sizes.join(forest_components(forest, few).withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+        least = parts.groupBy("component").agg((F.min("nnz") - alpha - 1).alias("gain"))  # links up to this length can help
+        state = materialize(parts.join(least, "component").select(F.col("row").alias("src"), "component", F.least("gain", F.lit(bound)).alias("reach")), "state")
+        if state.where(F.col("reach") > before).isEmpty():
+            return forest, tiers
+        one = ranked.where(F.col("at") <= bound + 1).join(state.where(F.col("reach") > before), "src").where(F.col("at") <= F.col("reach") + 1)
+        one = one.select("dst", F.col("src").alias("u"), F.col("at").alias("at_u"), F.col("nnz").alias("nnz_u"), F.col("most").alias("most_u"), F.col("component").alias("cu"), "reach")
+        two = ranked.where(F.col("at") <= bound + 1).join(state.select("src", "component"), "src")
+        two = two.select("dst", F.col("src").alias("v"), F.col("at").alias("at_v"), F.col("nnz").alias("nnz_v"), F.col("most").alias("most_v"), F.col("component").alias("cv"))
+        near = (F.col("at_u") + F.col("at_v") - 2 <= F.col("reach")) & (F.abs(F.col("nnz_u") - F.col("nnz_v")) <= F.col("reach"))
+        small = F.when(F.col("nnz_u") <= F.col("nnz_v"), F.col("at_u") <= F.col("most_u")).otherwise(F.col("at_v") <= F.col("most_v"))
+        rest = 2 * (F.least(F.col("nnz_u") - F.col("at_u"), F.col("nnz_v") - F.col("at_v")) + 1) >= F.col("nnz_u") + F.col("nnz_v") - F.col("reach")
+        joined = one.join(two, "dst").where((F.col("u") != F.col("v")) & (F.col("cu") != F.col("cv")) & near & small & rest)
+        pairs = joined.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.first(F.col("nnz_u") + F.col("nnz_v")).alias("both"), F.first(F.greatest("nnz_u", "nnz_v")).alias("nnz"))
+        pairs = materialize(pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+        made = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        # columns of u that v has too, counted by a join on (v, column)
+        columns = pairs.select("u", "v", "both", "nnz").join(ranked.select(F.col("src").alias("u"), "dst"), "u").join(ranked.select(F.col("src").alias("v"), "dst"), ["v", "dst"])
+        checked = columns.groupBy("u", "v", "both", "nnz").agg(F.count(F.lit(1)).alias("overlap")).select("u", "v", (F.col("both") - 2 * F.col("overlap")).alias("h"), "nnz")
+        seen = materialize(seen.union(checked), "seen")
+        links = seen.where((F.col("h") > before) & (F.col("h") <= bound) & (F.col("h") < F.col("nnz") - alpha)).select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("h").alias("w"))
+        forest = _boruvka(forest.union(links), few)
+        tiers.append({"bound": bound, "joined": made[1], "verified": made[0], "links": links.count()})
+        before, bound = bound, bound * growth
+
+
+def row_links(edges: DataFrame, alpha: int = 0) -> DataFrame:
+    """a < b, w: all links of the same kind, from the pruned join."""
+    d = row_distances(edges, pruned_overlap(edges, alpha))
+    return links_of(d, alpha)
+
+
+def links_of(distances: DataFrame, alpha: int) -> DataFrame:
+    return distances.where(F.col("h") < F.greatest("nnz_u", "nnz_v") - alpha).select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("h").alias("w"))
+
+
 def candidate_edges(edges: DataFrame, alpha: int = 0, pruned: bool = True, distances: DataFrame | None = None) -> DataFrame:
     """parent, child, weight: each row's legal parents; the root is a null parent.
 
