@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,34 +27,78 @@ def row_overlap(edges: DataFrame, share: float = 1 / 16, least: int = 64) -> Dat
     it shares, and a column that all rows have is spread over all tasks.
     Null ids share nothing.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null")
+    edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null"), "edges")
     rows = edges.select("src").distinct().count()
-    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("d"))
-    heavy = [r.dst for r in degrees.where(F.col("d") > max(share * rows, least)).orderBy(F.desc("d"), "dst").limit(MOST_HEAVY).collect()]
-    if not heavy:
+    bits, all_heavy = _heavy_columns(edges, max(share * rows, least))
+    if bits is None:
         return _light_overlap(edges)
-    bits = edges.sparkSession.createDataFrame(list(enumerate(heavy)), "bit int, dst long")
+    both = _heavy_overlap(edges.join(F.broadcast(bits), "dst"), bits.count(), max(8, -(-rows // BLOCK_ROWS)))
+    if all_heavy:
+        return both
     light = _light_overlap(edges.join(F.broadcast(bits), "dst", "left_anti"))
-    both = _heavy_overlap(edges.join(F.broadcast(bits), "dst"), len(heavy), max(8, -(-rows // BLOCK_ROWS)))  # 1,024 rows at most
     return light.union(both).groupBy("u", "v").agg(F.sum("overlap").alias("overlap"))
 
 
+def _heavy_columns(edges: DataFrame, above: float) -> tuple[DataFrame | None, bool]:
+    """bit, dst: the most frequent columns that more than ``above`` rows have (``MOST_HEAVY`` at most; None without any); whether these are all."""
+    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("d"))
+    heavy = [r.dst for r in degrees.where(F.col("d") > above).orderBy(F.desc("d"), "dst").limit(MOST_HEAVY).collect()]
+    if not heavy:
+        return None, False
+    return edges.sparkSession.createDataFrame(list(enumerate(heavy)), "bit int, dst long"), degrees.limit(len(heavy) + 1).count() == len(heavy)
+
+
+def _bitmaps(edges: DataFrame, n_bits: int) -> tuple[DataFrame, list[str]]:
+    """row, w0, w1, ...: the heavy columns (bit; null: another) of each row, 64 to a word."""
+    words = [f"w{k}" for k in range(-(-n_bits // 64))]
+    bit = F.expr("shiftleft(1L, bit % 64)")
+    return edges.groupBy(F.col("src").alias("row")).agg(*[F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * k, 64 * k + 63), bit)), F.lit(0)).cast("long").alias(w) for k, w in enumerate(words)]), words
+
+
+def _common(words: list[str]) -> Column:
+    return reduce(add, [F.bit_count(F.col(f"u_{w}").bitwiseAND(F.col(f"v_{w}"))) for w in words]).cast("long")
+
+
+def counted_overlap(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (distinct u, v, and other columns) with overlap, the columns that both rows have.
+
+    The most frequent columns are bits of a map that each row of a pair brings; the
+    others are counted by a join on (v, column) of the columns of u.
+    """
+    bits, all_heavy = _heavy_columns(edges, 16)
+    if bits is None:
+        return _with_light(pairs.withColumn("overlap", F.lit(0).cast("long")), edges)
+    maps, words = _bitmaps(edges.join(F.broadcast(bits), "dst", "left"), bits.count())
+    maps = materialize(maps, "bitmaps")
+    end = lambda e: maps.select(F.col("row").alias(e), *[F.col(w).alias(f"{e}_{w}") for w in words])
+    heavy = pairs.join(end("u"), "u").join(end("v"), "v").select(*pairs.columns, _common(words).alias("overlap"))
+    return heavy if all_heavy else _with_light(heavy, edges.join(F.broadcast(bits), "dst", "left_anti"))
+
+
+def _with_light(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    columns = pairs.select("u", "v").join(edges.select(F.col("src").alias("u"), "dst"), "u").join(edges.select(F.col("src").alias("v"), "dst"), ["v", "dst"])
+    light = columns.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_light"))
+    return pairs.join(light, ["u", "v"], "left").withColumn("overlap", F.col("overlap") + F.coalesce("_light", F.lit(0))).drop("_light")
+
+
 def _light_overlap(edges: DataFrame) -> DataFrame:
     a = edges.select(F.col("dst").alias("col"), F.col("src").alias("u"))
     b = edges.select(F.col("dst").alias("col"), F.col("src").alias("v"))
     return a.join(b, "col").where("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("overlap"))
 
 
-def _heavy_overlap(edges: DataFrame, n_bits: int, blocks: int) -> DataFrame:
-    """The same over edges of numbered columns (bit), by bitmaps: rows of block p and of block q >= p meet under (p, q)."""
-    words = [f"w{k}" for k in range(-(-n_bits // 64))]
-    maps = edges.groupBy(F.col("src").alias("row")).agg(*[F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * k, 64 * k + 63), F.expr("shiftleft(1L, bit % 64)"))), F.lit(0)).cast("long").alias(w) for k, w in enumerate(words)])
+def _heavy_overlap(edges: DataFrame, n_bits: int, blocks: int, alpha: int | None = None) -> DataFrame:
+    """The same over edges of numbered columns (bit), by bitmaps: rows of block p and of block q >= p meet under (p, q).
+
+    With ``alpha``, pairs of which one row can be the other's parent.
+    """
+    maps, words = _bitmaps(edges, n_bits)
     maps = maps.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     one = maps.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("q"), F.col("row").alias("u"), *[F.col(w).alias(f"u_{w}") for w in words])
     two = maps.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("p"), F.col("block").alias("q"), F.col("row").alias("v"), *[F.col(w).alias(f"v_{w}") for w in words])
-    common = reduce(add, [F.bit_count(F.col(f"u_{w}").bitwiseAND(F.col(f"v_{w}"))) for w in words]).cast("long")
-    met = one.join(two, ["p", "q"]).where("(p < q or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), common.alias("overlap"))
-    return met.where("overlap > 0")
+    nnz = lambda e: reduce(add, [F.bit_count(F.col(f"{e}_{w}")) for w in words])
+    met = one.join(two, ["p", "q"]).where("(p < q or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _common(words).alias("overlap"), (2 * _common(words) > F.least(nnz("u"), nnz("v")) + (alpha or 0)).alias("near"))
+    return met.where("overlap > 0" if alpha is None else "near").drop("near")
 
 
 def _sizes(edges: DataFrame) -> DataFrame:
@@ -74,18 +118,26 @@ def pruned_overlap(edges: DataFrame, alpha: int) -> DataFrame:
     A parent u must share t = (nnz_u + alpha) / 2 + 1 columns with its child, so
     under one order of columns, rarest first, the child has one of u's first
     nnz_u - t + 1. Only those columns of u are joined, which leaves most hub
-    columns out; overlaps of the pairs found are then counted in full.
+    columns out; overlaps of the pairs found are then counted in full, by
+    ``counted_overlap``.
+
+    Where that join would make more rows than there are pairs of rows, and all
+    columns fit in a bitmap, blocks of bitmaps are compared in its place.
     """
     freq = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("freq"))
     ranked = edges.join(freq, "dst").join(_sizes(edges).withColumnRenamed("row", "src"), "src").where(F.col("nnz") > alpha)
     at = F.row_number().over(W.partitionBy("src").orderBy("freq", "dst"))
     need = F.floor((F.col("nnz") + alpha) / 2) + 1
-    prefix = ranked.withColumn("at", at).where(F.col("at") <= F.col("nnz") - need + 1).select("dst", F.col("src").alias("u"), need.alias("need"))
+    prefix = ranked.withColumn("at", at).where(F.col("at") <= F.col("nnz") - need + 1).select("dst", F.col("src").alias("u"), need.alias("need"), "freq")
+    bits, all_heavy = _heavy_columns(edges, 0)
+    if all_heavy:
+        joined, rows = prefix.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0], _sizes(edges).count()
+        if joined > rows * (rows - 1) // 2:
+            n = bits.count()
+            return _heavy_overlap(edges.join(F.broadcast(bits), "dst"), n, max(8, -(-rows // BLOCK_ROWS)), alpha)
     pairs = prefix.join(ranked.select("dst", F.col("src").alias("v"), F.col("nnz").alias("nnz_v")), "dst").where((F.col("u") != F.col("v")) & (F.col("nnz_v") >= F.col("need")))
     both = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    cols = edges.groupBy("src").agg(F.collect_set("dst").alias("cols"))
-    full = both.join(cols.select(F.col("src").alias("u"), F.col("cols").alias("cu")), "u").join(cols.select(F.col("src").alias("v"), F.col("cols").alias("cv")), "v")
-    return full.select("u", "v", F.size(F.array_intersect("cu", "cv")).cast("long").alias("overlap"))
+    return counted_overlap(both, edges)
 
 
 def _ranked(edges: DataFrame, alpha: int) -> DataFrame:
@@ -135,9 +187,7 @@ def rising_forest(edges: DataFrame, alpha: int = 0, first: int = 1, growth: int
         pairs = joined.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.first(F.col("nnz_u") + F.col("nnz_v")).alias("both"), F.first(F.greatest("nnz_u", "nnz_v")).alias("nnz"))
         pairs = materialize(pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         made = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        # columns of u that v has too, counted by a join on (v, column)
-        columns = pairs.select("u", "v", "both", "nnz").join(ranked.select(F.col("src").alias("u"), "dst"), "u").join(ranked.select(F.col("src").alias("v"), "dst"), ["v", "dst"])
-        checked = columns.groupBy("u", "v", "both", "nnz").agg(F.count(F.lit(1)).alias("overlap")).select("u", "v", (F.col("both") - 2 * F.col("overlap")).alias("h"), "nnz")
+        checked = counted_overlap(pairs.select("u", "v", "both", "nnz"), ranked).select("u", "v", (F.col("both") - 2 * F.col("overlap")).alias("h"), "nnz")
         seen = materialize(seen.union(checked), "seen")
         links = seen.where((F.col("h") > before) & (F.col("h") <= bound) & (F.col("h") < F.col("nnz") - alpha)).select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("h").alias("w"))
         forest = _boruvka(forest.union(links), few)

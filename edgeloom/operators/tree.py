@@ -31,8 +31,8 @@ def _roots_of(pointers: DataFrame) -> DataFrame:
         now = new.select("node", F.col("top").alias("ptr"))
 
 
-def _kruskal(frame):
-    """The forest of a few links, cheapest first."""
+def _spanning(frame):
+    """The forest of a few links, cheapest first, with the components that each link joins."""
     import pandas as pd
 
     up: dict[int, int] = {}
@@ -49,18 +49,41 @@ def _kruskal(frame):
         p, q = top(x.ca), top(x.cb)
         if p != q:
             up[p] = q
-            out.append((x.a, x.b, x.w))
-    return pd.DataFrame(out, columns=["a", "b", "w"])
+            out.append((x.a, x.b, x.w, x.ca, x.cb))
+    return pd.DataFrame(out, columns=["a", "b", "w", "ca", "cb"], dtype="int64")
+
+
+def _kruskal(frame):
+    return _spanning(frame)[["a", "b", "w"]]
+
+
+def _filtered(batches, at_once: int = 200_000):
+    """The links of a part of all that its own forest keeps (a, b, w, ca, cb)."""
+    import pandas as pd
+
+    held, size = [], 0
+    for frame in batches:
+        held.append(frame)
+        size += len(frame)
+        if size >= at_once:
+            held = [_spanning(pd.concat(held))]
+            size = len(held[0])
+    if held:
+        yield _spanning(pd.concat(held))
 
 
 def _boruvka(links: DataFrame, few: int = FEW, most_rounds: int = 64) -> DataFrame:
     """a, b, w: minimum spanning forest of ``links`` (a < b, w). Ties go to edges
     of the root (the least id), then to the least (a, b): a total order, so the
-    choice is repeatable and closes no cycle. Once ``few`` links at most are left
+    choice is repeatable and closes no cycle. While there are ``few`` components at
+    most, each task first leaves out what a forest of its own links does without
+    (links that no forest of all needs). Once ``few`` links at most are left
     between components, one task ends the search with the same choice."""
     live = materialize(links.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb")), "links")
     chosen = links.limit(0).select("a", "b", "w")
     for _ in range(most_rounds):
+        if live.limit(few + 1).count() > few and live.select(F.explode(F.array("ca", "cb")).alias("c")).distinct().limit(few + 1).count() <= few:
+            live = materialize(live.mapInPandas(_filtered, live.schema), "links")
         if live.limit(few + 1).count() <= few:
             rest = live.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_kruskal, "a long, b long, w long")
             return materialize(chosen.union(rest), "forest")
