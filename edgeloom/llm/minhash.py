@@ -18,8 +18,10 @@ bucket once its members are one component. What is open after a few rounds is
 joined exactly, whatever its size, by the rarest shingles of each set: sets that
 reach the similarity share one of them (prefix and position filters; Bayardo et
 al. 2007, Xiao et al. 2008). Pages of one template that stay below the similarity
-have their own words among those, so they make no pairs. Shingle sets are kept
-only for documents that share a bucket.
+make no pairs if the words of their own are rare. They do make pairs, up to all
+within a bucket, if all their shingles come from one common pool (texts put together
+from the same 60 sentences): then no shingle is rare, and each pair is verified on
+both full sets. Shingle sets are kept only for documents that share a bucket.
 """
 
 from __future__ import annotations

@@ -13,9 +13,11 @@ earlier (smaller doc_id, or the same document further left).
    stage builds each shard's transform, and the next merges a group's
    transforms by refining their interleave: pass h orders all suffixes by h
    symbols from the order by h - 1, with no suffix sorted again (Holt, McMillan
-   2014). Once most blocks are single, only suffixes in others are looked at, and
-   a pass takes as many symbols as are settled. Where neighbours part gives
-   common prefixes; runs of ``length`` or more are the repeated intervals.
+   2014). That holds for the first ``slow`` (8) passes. After them most blocks are
+   single; the suffixes in others are sorted again by the order of their places
+   h further on, so that a pass takes as many symbols as are settled. Where
+   neighbours part gives common prefixes; runs of ``length`` or more are the
+   repeated intervals. ``slow=length`` refines all the way, at some six times the time.
 
 Scale: what is shuffled are anchors and digests (about 3 for each 100 bytes);
 of step 3, kinds and their transforms alone. A group holds about ``merge_bytes``.
