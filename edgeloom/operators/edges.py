@@ -1,4 +1,9 @@
-"""Cleaning, layout and validation of edge tables (src long, dst long[, weight double])."""
+"""Cleaning, layout and validation of edge tables (src long, dst long[, weight double]).
+
+Null ids: ``check_edges`` reports them. Operators that return a row for each
+node or join on ids leave edges with one out; ``transpose``, ``union_edges``,
+``sort_edges`` and ``coalesce_edges`` keep them as they are; compression raises.
+"""
 
 from __future__ import annotations
 
