@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
 from ..functions.storage import materialize
 from ..operators.edges import num_nodes
 
@@ -35,6 +36,14 @@ def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("src"), day.cast("long").alias("dst")).distinct()
 
 
+def doc_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document -> word, words by their place in the alphabet: near copies, and words that most documents have."""
+    words = F.explode(F.split(F.lower("text"), "[\\t\\n\\f\\r ]+")).alias("word")
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("src"), words).where("word <> ''").distinct()
+    found = materialize(found, "words")
+    return found.join(numbered(found.select("word").distinct(), "word", name="dst"), "word").select("src", "dst")
+
+
 def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, x = (p_size, p_partkey mod 7)."""
     part = table(spark, sf_dir, "part")

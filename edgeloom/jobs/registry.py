@@ -421,6 +421,13 @@ def _(spark, d):
     return cm.decompress(cm.compress(e, fx.sized(e), 0, search="rising"))
 
 
+@add("rising_documents", r"WITH w AS (SELECT DISTINCT CAST(doc_id AS BIGINT) AS src, unnest(string_split_regex(lower(text), '[\t\n\f\r ]+')) AS t FROM documents) SELECT src, CAST(dense_rank() OVER (ORDER BY t) - 1 AS BIGINT) AS dst FROM w WHERE t <> ''")
+def _(spark, d):
+    """Documents as rows of words, stored as differences from similar ones, and given back."""
+    e = materialize(fx.doc_word(spark, d), "edges")
+    return cm.decompress(cm.compress(e, fx.sized(e), 2, search="rising"))
+
+
 @add("decompress", f"WITH {DAY} SELECT src, dst FROM e")
 def _(spark, d):
     e = fx.user_day(spark, d)

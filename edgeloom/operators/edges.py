@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize
+from ..functions.order import numbered
 
 
 def num_nodes(edges: DataFrame) -> int:
@@ -81,13 +81,8 @@ def to_row_chunks(edges: DataFrame, size: int = 65_536, n: int | None = None) ->
     ``n``, rows under it without entries have one empty chunk.
     """
     val = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    ordered = edges.select("src", "dst", val.alias("val")).where("src is not null").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
-    marked = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("at", 33)
-    sizes = marked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k"))
-    starts = sizes.select("part", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("start"))  # a row for each task of the sort
-    placed = marked.withColumn("part", part).join(F.broadcast(starts), "part")
-    cut = placed.select("src", "dst", "val", F.floor((F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) / size).alias("cut"))
+    placed = numbered(edges.select("src", "dst", val.alias("val")).where("src is not null"), "src", "dst")
+    cut = placed.select("src", "dst", "val", F.floor(F.col("at") / size).alias("cut"))
     packed = cut.groupBy("src", "cut").agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("col"), "val"))).alias("entries"))
     first = cut.groupBy("src").agg(F.min("cut").alias("first"))
     chunks = packed.join(first, "src").select(F.col("src").alias("row"), (F.col("cut") - F.col("first")).alias("chunk"), F.size("entries").cast("long").alias("nnz"), "entries")

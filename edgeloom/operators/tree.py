@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
 from ..functions.storage import materialize
 from ..functions.vectors import BLOCK, add
 
@@ -124,12 +125,9 @@ def _next_arcs(arcs: DataFrame) -> DataFrame:
     Arcs are sorted over all tasks, and each is joined with the one behind it by
     its place, so a node of any degree is as many rows of as many tasks.
     """
-    ordered = materialize(arcs.repartitionByRange("v", "u").sortWithinPartitions("v", "u").withColumn("at", F.monotonically_increasing_id()), "arcs")
-    ends = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("lo"), F.max("at").alias("at"))
-    turns = ends.select("at", F.lead("lo").over(W.orderBy("part")).alias("lo"))  # a row for each task of the sort
-    placed = ordered.join(F.broadcast(turns), "at", "left").withColumn("at", F.coalesce("lo", F.col("at") + 1)).drop("lo")
-    behind = ordered.select("at", F.col("v").alias("vb"), F.col("u").alias("ub"))
-    after = placed.join(behind, "at", "left").select("u", "v", F.when(F.col("vb") == F.col("v"), F.col("ub")).alias("w"))
+    ordered = materialize(numbered(arcs, "v", "u"), "arcs")
+    behind = ordered.select((F.col("at") - 1).alias("at"), F.col("v").alias("vb"), F.col("u").alias("ub"))
+    after = ordered.join(behind, "at", "left").select("u", "v", F.when(F.col("vb") == F.col("v"), F.col("ub")).alias("w"))
     first = arcs.groupBy("v").agg(F.min("u").alias("f"))
     last = after.where("w is null").join(first, "v").select("u", "v", "w", "f")  # one for each node
     return after.where("w is not null").withColumn("f", F.lit(None).cast("long")).union(last)

@@ -133,6 +133,15 @@ def test_rising_distances_on_the_fixtures(spark, name, alpha, want):
     assert cm.check_compressed(c, e)
 
 
+def test_words_that_all_documents_have_make_no_pairs(spark):
+    e = fx.doc_word(spark, SMALL)
+    rows = e.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("nnz"))
+    assert rows.agg(F.sum("nnz")).first()[0] == 53_140
+    forest, tiers = similarity.rising_forest(e, 0, first=4, growth=8)
+    assert tree.tree_of_links(forest, rows).agg(F.sum("weight")).first()[0] == 46_528
+    assert sum(t["verified"] for t in tiers) < 200 * 199 / 2 / 4
+
+
 def test_loose_pairs_are_never_made(spark):
     # ten groups of near rows; all rows share forty columns, which the plain join would pair
     pairs = [(r, c) for r in range(200) for c in range(40)] + [(r, 1000 + 50 * (r % 10) + k) for r in range(200) for k in range(45)] + [(r, 2000 + r) for r in range(200)]
@@ -272,7 +281,7 @@ def test_whole_messages(spark):
 
 
 def test_merging_trees(spark):
-    for seed, alpha in ((0, 1), (1, 2)):
+    for seed, alpha in ((1, 2),):
         rng = random.Random(seed)
         e = graph(spark, [(r, c) for r in range(22) for c in range(14) if rng.random() < 0.25 + 0.03 * (r % 10)])
         cand = similarity.candidate_edges(e, alpha)
