@@ -40,8 +40,8 @@ def row_overlap(edges: DataFrame, share: float = 1 / 16, least: int = 64) -> Dat
 
 
 def _heavy_columns(edges: DataFrame, above: float) -> tuple[DataFrame | None, bool]:
-    """bit, dst: the most frequent columns that more than ``above`` rows have (``MOST_HEAVY`` at most; None without any); whether these are all."""
-    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("d"))
+    """bit, dst: the most frequent columns that more than ``above`` rows have (``MOST_HEAVY`` at most; None without any); whether these are all that two rows can share."""
+    degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     heavy = [r.dst for r in degrees.where(F.col("d") > above).orderBy(F.desc("d"), "dst").limit(MOST_HEAVY).collect()]
     if not heavy:
         return None, False
@@ -49,10 +49,10 @@ def _heavy_columns(edges: DataFrame, above: float) -> tuple[DataFrame | None, bo
 
 
 def _bitmaps(edges: DataFrame, n_bits: int) -> tuple[DataFrame, list[str]]:
-    """row, w0, w1, ...: the heavy columns (bit; null: another) of each row, 64 to a word."""
+    """row, nnz, w0, w1, ...: the heavy columns (bit; null: another) of each row, 64 to a word."""
     words = [f"w{k}" for k in range(-(-n_bits // 64))]
     bit = F.expr("shiftleft(1L, bit % 64)")
-    return edges.groupBy(F.col("src").alias("row")).agg(*[F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * k, 64 * k + 63), bit)), F.lit(0)).cast("long").alias(w) for k, w in enumerate(words)]), words
+    return edges.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("nnz"), *[F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * k, 64 * k + 63), bit)), F.lit(0)).cast("long").alias(w) for k, w in enumerate(words)]), words
 
 
 def _common(words: list[str]) -> Column:
@@ -90,14 +90,14 @@ def _light_overlap(edges: DataFrame) -> DataFrame:
 def _heavy_overlap(edges: DataFrame, n_bits: int, blocks: int, alpha: int | None = None) -> DataFrame:
     """The same over edges of numbered columns (bit), by bitmaps: rows of block p and of block q >= p meet under (p, q).
 
-    With ``alpha``, pairs of which one row can be the other's parent.
+    With ``alpha``, pairs of which one row can be the other's parent; edges then hold
+    all columns of a row (bit null: one that no other row has).
     """
     maps, words = _bitmaps(edges, n_bits)
     maps = maps.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    one = maps.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("q"), F.col("row").alias("u"), *[F.col(w).alias(f"u_{w}") for w in words])
-    two = maps.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("p"), F.col("block").alias("q"), F.col("row").alias("v"), *[F.col(w).alias(f"v_{w}") for w in words])
-    nnz = lambda e: reduce(add, [F.bit_count(F.col(f"{e}_{w}")) for w in words])
-    met = one.join(two, ["p", "q"]).where("(p < q or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _common(words).alias("overlap"), (2 * _common(words) > F.least(nnz("u"), nnz("v")) + (alpha or 0)).alias("near"))
+    one = maps.select(F.col("block").alias("p"), F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("q"), F.col("row").alias("u"), F.col("nnz").alias("nnz_u"), *[F.col(w).alias(f"u_{w}") for w in words])
+    two = maps.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("p"), F.col("block").alias("q"), F.col("row").alias("v"), F.col("nnz").alias("nnz_v"), *[F.col(w).alias(f"v_{w}") for w in words])
+    met = one.join(two, ["p", "q"]).where("(p < q or u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _common(words).alias("overlap"), (2 * _common(words) > F.least("nnz_u", "nnz_v") + (alpha or 0)).alias("near"))
     return met.where("overlap > 0" if alpha is None else "near").drop("near")
 
 
@@ -122,7 +122,8 @@ def pruned_overlap(edges: DataFrame, alpha: int) -> DataFrame:
     ``counted_overlap``.
 
     Where that join would make more rows than there are pairs of rows, and all
-    columns fit in a bitmap, blocks of bitmaps are compared in its place.
+    columns that rows share fit in a bitmap, blocks of bitmaps are compared in its
+    place.
     """
     freq = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("freq"))
     ranked = edges.join(freq, "dst").join(_sizes(edges).withColumnRenamed("row", "src"), "src").where(F.col("nnz") > alpha)
@@ -134,7 +135,7 @@ def pruned_overlap(edges: DataFrame, alpha: int) -> DataFrame:
         joined, rows = prefix.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0], _sizes(edges).count()
         if joined > rows * (rows - 1) // 2:
             n = bits.count()
-            return _heavy_overlap(edges.join(F.broadcast(bits), "dst"), n, max(8, -(-rows // BLOCK_ROWS)), alpha)
+            return _heavy_overlap(edges.join(F.broadcast(bits), "dst", "left"), n, max(8, -(-rows // BLOCK_ROWS)), alpha)
     pairs = prefix.join(ranked.select("dst", F.col("src").alias("v"), F.col("nnz").alias("nnz_v")), "dst").where((F.col("u") != F.col("v")) & (F.col("nnz_v") >= F.col("need")))
     both = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return counted_overlap(both, edges)

@@ -310,3 +310,14 @@ def test_merged_trees_are_the_least_on_the_fixtures(spark, sf, name, alpha, want
     e = getattr(fx, name)(spark, f"/root/testdata/{sf}")
     c = cm.compress(e, fx.sized(e), alpha, method="merged")
     assert c.deltas.count() == want and cm.check_compressed(c, e)
+
+
+def test_dense_rows_are_compared_in_blocks(spark):
+    rng = random.Random(9)
+    pairs = [(r, c) for r in range(40) for c in range(12) if rng.random() < 0.7] + [(r, 100 + r) for r in range(40)] + [(60, 200), (61, 12)]
+    e = graph(spark, pairs)
+    for alpha in (0, 2):
+        found = similarity.pruned_overlap(e, alpha)
+        assert "dst" not in found.columns and "sequence" in found._jdf.queryExecution().toString()  # blocks
+        one, other = (tuples(similarity.candidate_edges(e, alpha, pruned=p), F.coalesce("parent", F.lit(-1)), "child", "weight") for p in (True, False))
+        assert one == other
