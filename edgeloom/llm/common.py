@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_written_to", None):
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, n: int, column: str, label: str) -> Iterator[DataFrame]:
+    """``df`` as a table of ``n`` buckets in the shared folder, dropped with its files at the end, failures included."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    name = f"{label}_{uuid.uuid4().hex}"
+    try:
+        df.write.bucketBy(n, column).option("compression", "zstd").option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:

@@ -18,7 +18,8 @@ counts that follow the previous word (or, where that is rare, the last of the
 ``COMMON`` most frequent words), code bits also by the prefix alone and by the
 text's own words under it, decisions by the text's own history. Predictions
 are mixed in the logistic domain by weights that a gate selects; the weights
-are refined by a gradient step after every ``BLOCK`` bits of a text, and a
+are refined by a gradient step after a text's first 32, 64, 128 and 256 bits and
+after every ``BLOCK`` bits (``block_end``), and a
 decision's mixed prediction by how often such predictions held so far. Branches of a bit
 sum to 1 and choices to at most 1, so the score is a log probability.
 
@@ -31,7 +32,10 @@ the only thing sent to every task. Everything else grows with the corpus: texts
 are dealt into batches, a batch sums its rare words and contexts (a hot one is
 there once a batch), these are dealt by key into buckets whose number grows with
 the tokens, summed there over all batches, and what a batch asked for goes back
-to it. Rare words have 64-bit names (a billion of them share one in 0.03 pairs).
+to it. A batch sends one row to each bucket while there are 2 ** ``ONE_HOP`` at
+most. With more, rows would shrink to a few keys each; then a batch sends one row
+to each group of buckets (about the square root of their number), and a block of
+batches sends what they have for a bucket as one row, both ways. Rare words have 64-bit names (a billion of them share one in 0.03 pairs).
 Contexts are hashed to 26 bits and the bucket's, 44 at most: under 1 % share a
 slot, which blurs a prediction and harms nothing else. Words after two others are told
 apart by 38 bits.
@@ -41,7 +45,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,11 +58,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, id_text, map_batches, materialize, read, rows
+from .common import bucketed, forget, id_text, map_batches, materialize, read, rows
 
 END = b"\n"  # no word holds white space
 BATCH = 1 << 18  # tokens of a batch; more if one text has more
-BUCKET = 1 << 19  # tokens for each bucket of contexts
+BUCKET = 1 << 21  # tokens for each bucket of contexts
+ONE_HOP = 12  # up to 2 ** this many buckets, batches send to them directly
+TASK = 1 << 24  # tokens that a scoring task takes, about
 COMMON = 64
 PRIOR = 300.0
 PATH = 10  # decisions and code bits that the previous word's counts cover
@@ -67,7 +72,7 @@ CODED = PATH - 2
 OWN = 5  # code bits for which the text's own words are counted
 INNER, NAME = 26, 38  # bits of a context in its bucket, and of a word after two others
 INPUTS, GATES, KINDS, BINS = 3, 24, 4, 16  # kinds of decisions; code bits are one more
-BLOCK, RATE, HOLD = 512, 0.02, 24.0
+FIRST, BLOCK, RATE, HOLD = 32, 512, 0.02, 24.0
 #: Weights at the start of a text: decisions; code bits (prefix, then what contexts add to it).
 START, START_CODE = (0.4, 0.4, 0.4), (1.0, 0.8, 0.3)
 DECISIONS, FIRST_CODE = 12, 12  # gates of decisions come first
@@ -269,9 +274,14 @@ def _cuts(bucket: np.ndarray, buckets: int) -> list[int]:
 
 class Asked:
     """A batch's keys by bucket: rare words (the rest of the name), words after two others (8 bytes: context, and
-    a frequent word's number or a rare one's name), paths after the previous word (5 bytes: context, path)."""
+    a frequent word's number or a rare one's name), paths after the previous word (5 bytes: context, path).
 
-    def __init__(self, b: Batch, power: int, bits: int) -> None:
+    A row goes to each of 2 ** ``first`` groups of buckets; where that is not a row for each of the 2 ** ``power``
+    buckets, two bytes more say which of its group's buckets a key is for (its distance from the key before).
+    """
+
+    def __init__(self, b: Batch, power: int, bits: int, first: int | None = None) -> None:
+        first = power if first is None else first
         inner = np.uint64(bits - power)
         names = b.names[len(b.lexicon.index) : -1]
         self.word_order = np.argsort(names)
@@ -284,7 +294,10 @@ class Asked:
         pair = ((context & low) << np.uint64(NAME)) | called
         step = ((path & low) << np.uint64(PATH)) | (b.path_key & np.uint64((1 << PATH) - 1))
         self.keys = [_bytes_of(names & rest, 7), _bytes_of(pair, 8), _bytes_of(step, 5)]
-        self.cuts = [_cuts(x, 1 << power) for x in (names >> np.uint64(64 - power), context >> inner, path >> inner)]
+        buckets = [names >> np.uint64(64 - power), context >> inner, path >> inner]
+        second = power - first
+        self.cuts = [_cuts(x >> np.uint64(second), 1 << first) for x in buckets]
+        self.to = [x & np.uint64((1 << second) - 1) for x in buckets] if second else None
 
     def columns(self, b: Batch, learn: np.ndarray) -> dict[str, list]:
         """The keys with how often the batch's training texts have them."""
@@ -294,32 +307,101 @@ class Asked:
         counts = [np.bincount(odd, minlength=len(self.word_order))[self.word_order], np.bincount(b.pair[learned[b.new]], minlength=len(b.pair_key)), np.bincount(b.path[open_], minlength=len(b.path_key))]
         used = [k for k in range(len(self.cuts[0]) - 1) if any(c[k] < c[k + 1] for c in self.cuts)]
         out: dict[str, list] = {"bucket": used}
-        for name, keys, cut, n in zip(("words", "pairs", "paths"), self.keys, self.cuts, counts, strict=True):
-            out[name] = [_planes(keys[cut[k] : cut[k + 1]]) for k in used]
+        for kind, (name, keys, cut, n) in enumerate(zip(WIDTHS, self.keys, self.cuts, counts, strict=True)):
+            parts = [keys[cut[k] : cut[k + 1]] for k in used]
+            if self.to:
+                steps = [np.diff(self.to[kind][cut[k] : cut[k + 1]], prepend=np.uint64(0)) for k in used]
+                parts = [np.hstack([x, _bytes_of(step, 2)]) for x, step in zip(parts, steps, strict=True)]
+            out[name] = [_planes(x) for x in parts]
             out[name + "_n"] = [zstandard.compress(packed(n[cut[k] : cut[k + 1]]), 1) for k in used]
         return out
 
 
-def _joined(table: pa.Table, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and counts of a bucket's batches, and how many each batch has."""
+#: Bytes of a key of each kind.
+WIDTHS = {"words": 7, "pairs": 8, "paths": 5}
+
+
+def _squeezed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(packed(counts), 1)
+
+
+def _loose(raw: bytes, n: int) -> np.ndarray:
+    return unpacked(zstandard.decompress(raw), n)
+
+
+def bundled(table: pa.Table, second: int) -> pa.Table:
+    """What a block of batches has for a group of buckets, as a row for each bucket.
+
+    Keys stand batch by batch; ``words_k`` and so on say how many each batch has.
+    The row of the group's first bucket is always there and names the batches.
+    """
+    table = table.sort_by("batch")
+    group, m = table["bucket"][0].as_py(), table.num_rows
+    columns: dict[str, list] = {}
+    used = np.zeros(1 << second, dtype=bool)
+    used[0] = True
+    kinds = []
+    for name, width in WIDTHS.items():
+        raw = [_table(x, width + 2) for x in table[name].to_pylist()]
+        sizes = np.array([len(x) for x in raw])
+        counts = np.concatenate([_loose(c, n) for c, n in zip(table[name + "_n"].to_pylist(), sizes.tolist(), strict=True)])
+        keys = np.concatenate(raw)
+        to = np.concatenate([np.cumsum(np.ascontiguousarray(x[:, width:]).view("<u2").ravel(), dtype=np.int64) for x in raw])
+        order = np.argsort(to, kind="stable")  # by bucket, then batch
+        to = to[order]
+        used[to] = True
+        kinds.append((name, keys[order, :width], counts[order], np.repeat(np.arange(m), sizes)[order], to))
+    at = np.flatnonzero(used)
+    for name, keys, counts, member, to in kinds:
+        spans = list(zip(np.searchsorted(to, at).tolist(), np.searchsorted(to, at, side="right").tolist(), strict=True))
+        columns[name] = [_planes(keys[i:j]) for i, j in spans]
+        columns[name + "_n"] = [_squeezed(counts[i:j]) for i, j in spans]
+        columns[name + "_k"] = [_squeezed(np.bincount(member[i:j], minlength=m)) for i, j in spans]
+    columns["members"] = [table["batch"].to_numpy().astype("<i8").tobytes()] + [b""] * (len(at) - 1)
+    columns |= {"block": [table["block"][0].as_py()] * len(at), "n_members": [m] * len(at), "bucket": ((group << second) | at).tolist()}
+    return _as(columns, BUNDLE)
+
+
+def unbundled(table: pa.Table, second: int) -> pa.Table:
+    """A block's answers from a group of buckets as a row for each of its batches, keys in the order of ``Asked``."""
+    table = table.sort_by("bucket")
+    members = np.frombuffer(table["members"][0].as_py(), "<i8")
+    m = len(members)
+    out: dict[str, list] = {"batch": members.tolist(), "bucket": [table["bucket"][0].as_py() >> second] * m}
+    for name, sizes_of, width in (("words", "words_k", 0), ("told", "told_k", TOLD.itemsize), ("steps", "paths_k", PATH + 1)):
+        sizes = [_loose(x, m) for x in table[sizes_of].to_pylist()]
+        each = np.concatenate([np.repeat(np.arange(m), x) for x in sizes])
+        order = np.argsort(each, kind="stable")  # by batch, then bucket
+        raw = table[name].to_pylist()
+        values = np.concatenate([_table(x, width) if width else unpacked(x, int(n.sum())) for x, n in zip(raw, sizes, strict=True)])[order]
+        parts = np.split(values, np.cumsum(np.bincount(each, minlength=m))[:-1])
+        out[name] = [_planes(x) if width else packed(x) for x in parts]
+    return _as(out, BACK)
+
+
+def _joined(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and counts of a bucket's rows, and how many each batch has."""
+    width = WIDTHS[name]
     raw = [_table(x, width) for x in table[name].to_pylist()]
     sizes = np.array([len(x) for x in raw])
-    counts = [unpacked(zstandard.decompress(c), n) for c, n in zip(table[name + "_n"].to_pylist(), sizes.tolist(), strict=True)]
-    key = np.zeros((int(sizes.sum()), 8), dtype="u1")
+    counts = [_loose(c, n) for c, n in zip(table[name + "_n"].to_pylist(), sizes.tolist(), strict=True)]
+    if name + "_k" in table.column_names:  # rows of several batches
+        sizes = np.concatenate([_loose(x, m) for x, m in zip(table[name + "_k"].to_pylist(), table["n_members"].to_pylist(), strict=True)])
+    key = np.zeros((sum(map(len, raw)), 8), dtype="u1")
     key[:, :width] = np.concatenate(raw)
     return key.view("<u8").ravel(), np.concatenate(counts), sizes
 
 
-def _parts(rows_: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Each batch's rows."""
-    return [_planes(x) for x in np.split(rows_, np.cumsum(sizes)[:-1])]
+def _parts(rows_: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``rows_`` cut into parts of these sizes."""
+    return np.split(rows_, np.cumsum(sizes)[:-1])
 
 
 TOLD = np.dtype([(name, "u1") for name in ("first", "second", "n1", "n2", "more", "ahead")])
 
 
-def _told(key: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """For each batch's contexts the two words that most often follow.
+def _told(key: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each batch's contexts the two words that most often follow, and how many contexts each batch has.
 
     A word is given as its number among those the batch asked for (255: none of
     them, or beyond); ``ahead`` says that the first would come before the second
@@ -355,10 +437,10 @@ def _told(key: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[bytes]
     told["more"] = levels(total - rank[0][1] - rank[1][1])[of]
     told["ahead"] = (rank[0][0] < rank[1][0])[of]
     out[told["n1"] == 0] = 0
-    return _parts(out, np.bincount(batch[first], minlength=len(sizes)) if len(first) else np.zeros(len(sizes), dtype=np.int64))
+    return out, np.bincount(batch[first], minlength=len(sizes))
 
 
-def _steps(key: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def _steps(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each key of each batch: counts that leave its path at each bit, and its own."""
     distinct, number = np.unique(key, return_inverse=True)
     sums = np.bincount(number, counts, len(distinct))
@@ -374,41 +456,77 @@ def _steps(key: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> list[bytes
             out[:, d - 1] = levels(under - n)
         under = n
     out[:, PATH] = levels(under) if len(distinct) else 0
-    return _parts(out[number], sizes)
+    return out[number]
 
 
 FORWARD = "batch long, bucket long, words binary, words_n binary, pairs binary, pairs_n binary, paths binary, paths_n binary"
 BACK = "batch long, bucket long, words binary, told binary, steps binary"
+#: The same between blocks of batches and buckets.
+BUNDLE = "block long, n_members long, members binary, bucket long, words binary, words_n binary, words_k binary, pairs binary, pairs_n binary, pairs_k binary, paths binary, paths_n binary, paths_k binary"
+BUNDLE_BACK = "block long, members binary, bucket long, words binary, words_k binary, told binary, told_k binary, steps binary, paths_k binary"
+
+
+def _as(columns: dict[str, list], schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array(columns[name], pa.int64() if kind == "long" else pa.binary()) for name, kind in fields})
 
 
 def answered(table: pa.Table) -> pa.Table:
-    """A bucket's rows of ``FORWARD`` as rows of ``BACK``: sums over all batches."""
-    key, counts, sizes = _joined(table, "words", 7)
+    """A bucket's rows of ``FORWARD`` as rows of ``BACK``, or of ``BUNDLE`` as of ``BUNDLE_BACK``: sums over all batches."""
+    together = "n_members" in table.column_names
+    ends = np.cumsum(table["n_members"].to_numpy() if together else np.ones(table.num_rows, dtype=np.int64))
+
+    def of_rows(sizes: np.ndarray) -> np.ndarray:
+        """Sums of batches' sizes for each row."""
+        return np.diff(np.append(0, np.append(0, np.cumsum(sizes))[ends]))
+
+    key, counts, sizes = _joined(table, "words")
     distinct, number = np.unique(key, return_inverse=True)
     sums = np.bincount(number, counts, len(distinct)).astype(np.int64)[number]
-    words = [packed(x) for x in np.split(sums, np.cumsum(sizes)[:-1])]
-    found = {"words": words, "told": _told(*_joined(table, "pairs", 8)), "steps": _steps(*_joined(table, "paths", 5))}
-    return pa.table({"batch": table["batch"], "bucket": table["bucket"]} | {k: pa.array(v, pa.binary()) for k, v in found.items()})
+    found = {"bucket": table["bucket"].to_pylist(), "words": [packed(x) for x in _parts(sums, of_rows(sizes))]}
+    told, contexts = _told(*_joined(table, "pairs"))
+    found["told"] = [_planes(x) for x in _parts(told, of_rows(contexts))]
+    key, counts, sizes = _joined(table, "paths")
+    found["steps"] = [_planes(x) for x in _parts(_steps(key, counts), of_rows(sizes))]
+    if not together:
+        return _as(found | {"batch": table["batch"].to_pylist()}, BACK)
+    found |= {k: table[k].to_pylist() for k in ("block", "members", "words_k", "paths_k")}
+    found["told_k"] = [_squeezed(x) for x in np.split(contexts, ends[:-1])]
+    return _as(found, BUNDLE_BACK)
+
 
+def hops(power: int) -> int:
+    """Bits of a batch's rows to buckets: all, or half where that would be too many rows."""
+    return power if power <= ONE_HOP else -(-power // 2)
 
-def corpus_counts(batches: DataFrame, lexicon: Lexicon, power: int, bits: int) -> DataFrame:
+
+def corpus_counts(batches: DataFrame, lexicon: Lexicon, power: int, bits: int, first: int) -> DataFrame:
     """batch and found: what all training texts say to each batch's keys, by bucket.
 
-    Keys are dealt into 2 ** ``power`` buckets. Counts go back in the order of
+    Keys are dealt into 2 ** ``power`` buckets, in rows for 2 ** ``first`` groups
+    of them. Counts go back in the order of
     the keys (``Asked``): rare words' counts, the words told after two others
     (``TOLD``), and the counts along paths (``_steps``).
     """
+    second = power - first
 
     def ask(given: Iterator) -> Iterator[dict]:
         for one in rows(given, 1):
             row = one.to_pylist()[0]
             b = Batch.of(row, lexicon, bits)
-            out = Asked(b, power, bits).columns(b, np.array(row["learn"], dtype=bool))
+            out = Asked(b, power, bits, first).columns(b, np.array(row["learn"], dtype=bool))
             yield {"batch": [row["batch"]] * len(out["bucket"])} | out
 
     each = map_batches(batches.select("batch", "learn", "sizes", "words", "odd", "names"), ask, FORWARD)
-    back = materialize(each.groupBy("bucket").applyInArrow(answered, BACK), "contexts")
-    return back.groupBy("batch").agg(F.collect_list(F.struct("bucket", "words", "told", "steps")).alias("found"))
+    if not second:
+        back = each.groupBy("bucket").applyInArrow(answered, BACK)
+    else:
+        blocks = -(-batches.count() >> first) or 1  # a block and a group have about what a batch has
+        sent = each.withColumn("block", F.pmod(F.xxhash64("batch"), F.lit(blocks)))
+        sent = sent.groupBy("block", "bucket").applyInArrow(lambda t: bundled(t, second), BUNDLE)
+        known = sent.groupBy("bucket").applyInArrow(answered, BUNDLE_BACK)
+        back = known.groupBy("block", F.shiftright("bucket", second)).applyInArrow(lambda t: unbundled(t, second), BACK)
+    return materialize(back, "contexts").groupBy("batch").agg(F.collect_list(F.struct("bucket", "words", "told", "steps")).alias("found"))
 
 
 @dataclass
@@ -590,6 +708,12 @@ class Bits:
         return np.where(bit, x, -x)
 
 
+def block_end(k: int) -> int:
+    """Bits of a text up to the end of its block ``k``: 32, 64, 128, 256, 512, 1024, 1536 and so on."""
+    ends = (BLOCK // FIRST).bit_length()
+    return FIRST << k if k < ends else BLOCK * (k - ends + 2)
+
+
 def mixed(bits: Bits) -> np.ndarray:
     """Natural log probability of each text's bits."""
     texts, total = len(bits.sizes), bits.x.shape[1]
@@ -598,18 +722,20 @@ def mixed(bits: Bits) -> np.ndarray:
     held = np.zeros((texts, KINDS * BINS, 2), dtype=np.float32)
     logs = np.zeros(texts)
     order = np.argsort(-bits.sizes, kind="stable")
-    blocks = -(-bits.sizes[order] // BLOCK)
-    lanes = np.arange(BLOCK)
+    falling, longest = -bits.sizes[order], int(bits.sizes.max(initial=0))
     one, half = np.float32(1), np.float32(0.5)
-    for k in range(int(blocks.max(initial=0))):
-        own = order[: int(np.searchsorted(-blocks, -k, side="left"))]  # texts with a block k
+    k = end = 0
+    while end < longest:
+        begin, end, k = end, block_end(k), k + 1
+        own = order[: int(np.searchsorted(falling, -begin, side="left"))]  # texts with more bits than ``begin``
         if len(own) == 1:  # a slice
-            i = int(bits.starts[own[0]]) + k * BLOCK
-            at = np.arange(i, int(bits.starts[own[0]]) + min(int(bits.sizes[own[0]]), (k + 1) * BLOCK))
+            i = int(bits.starts[own[0]])
+            at = np.arange(i + begin, i + min(int(bits.sizes[own[0]]), end))
             row = np.zeros(len(at), dtype=np.int64)
         else:
-            ok = k * BLOCK + lanes < bits.sizes[own][:, None]
-            at = (bits.starts[own][:, None] + (k * BLOCK + lanes))[ok]
+            lanes = np.arange(begin, end)
+            ok = lanes < bits.sizes[own][:, None]
+            at = (bits.starts[own][:, None] + lanes)[ok]
             row = np.repeat(np.arange(len(own)), ok.sum(axis=1))
         cell = row * GATES + bits.gate[at]
         x = bits.x[:, at]
@@ -752,27 +878,23 @@ def score_texts(docs: DataFrame, folds: int = 7, rest: int = 2, vocabulary: int
     floor = float(n_train + n_words + 1)
     forget(counts)
     lexicon = Lexicon([w for _, w in top], np.array([-c for c, _ in top], dtype=float), floor)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, n_train // TASK))
     # bucketed, so that what goes back to a batch comes to it
-    spark, name = docs.sparkSession, f"batches_{uuid.uuid4().hex}"
-    dealt(docs, lexicon, folds, rest).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch").option("compression", "zstd").saveAsTable(name)
-    batches = spark.table(name)
-    tokens = int(batches.agg(F.sum("tokens")).first()[0] or 0)
-    power = max(8, math.ceil(math.log2(tokens / BUCKET + 1)))
-    bits = max(power, min(44, power + INNER))
-
-    def run(given: Iterator) -> Iterator[dict]:
-        for one in rows(given, 1):
-            row = one.to_pylist()[0]
-            b, learn = Batch.of(row, lexicon, bits), np.array(row["learn"], dtype=bool)
-            score, base, known = score_batch(b, Found.of(b, Asked(b, power, bits), row["found"]), learn, floor)
-            score = score / math.log(10)
-            yield {"doc_id": row["doc_id"], "held_out": ~learn, "n_tokens": b.sizes, "n_known": known, "train_tokens": np.full(len(learn), n_train), "base_score": base, "score": score, "bits_per_byte": -score / math.log10(2) / (np.array(row["n_bytes"]) + 1)}
-
-    found = corpus_counts(batches, lexicon, power, bits)
-    predicted = batches.join(found, "batch")
-    made = materialize(map_batches(predicted, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return made
+    with bucketed(dealt(docs, lexicon, folds, rest), tasks, "batch", "batches") as batches:
+        tokens = int(batches.agg(F.sum("tokens")).first()[0] or 0)
+        power = max(8, math.ceil(math.log2(tokens / BUCKET + 1)))
+        bits, first = max(power, min(44, power + INNER)), hops(power)
+
+        def run(given: Iterator) -> Iterator[dict]:
+            for one in rows(given, 1):
+                row = one.to_pylist()[0]
+                b, learn = Batch.of(row, lexicon, bits), np.array(row["learn"], dtype=bool)
+                score, base, known = score_batch(b, Found.of(b, Asked(b, power, bits, first), row["found"]), learn, floor)
+                score = score / math.log(10)
+                yield {"doc_id": row["doc_id"], "held_out": ~learn, "n_tokens": b.sizes, "n_known": known, "train_tokens": np.full(len(learn), n_train), "base_score": base, "score": score, "bits_per_byte": -score / math.log10(2) / (np.array(row["n_bytes"]) + 1)}
+
+        predicted = batches.join(corpus_counts(batches, lexicon, power, bits, first), "batch")
+        return materialize(map_batches(predicted, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"), "scores")
 
 
 def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

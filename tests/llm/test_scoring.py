@@ -120,9 +120,10 @@ def events(text, lex, told, paths, learn):
 def mixed_slowly(made):
     weights = np.array([sc.START] * sc.DECISIONS + [sc.START_CODE] * (sc.GATES - sc.DECISIONS))
     held, total = np.zeros((sc.KINDS, sc.BINS, 2)), 0.0
-    for k in range(0, len(made), sc.BLOCK):
+    ends = [32, 64, 128, 256, *range(512, len(made) + 512, 512)]
+    for begin, end in zip([0, *ends], ends):
         step, seen = np.zeros_like(weights), np.zeros_like(held)
-        for x, gate, kind in made[k : k + sc.BLOCK]:
+        for x, gate, kind in made[begin:end]:
             z = float(np.clip(np.dot(x, weights[gate]), -13, 13))
             p = 1 / (1 + math.exp(-z))
             step[gate] += sc.RATE * (1 - p) * np.array(x)
@@ -177,6 +178,36 @@ def test_scores_match_a_token_by_token_version(spark):
         assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-3 * (1 + abs(b[1])), (a, b)
 
 
+def test_two_hops_give_the_scores_of_one(spark, monkeypatch):
+    docs = table(spark, corpus()).repartition(7)
+    one = sorted(map(tuple, sc.score_texts(docs, vocabulary=100).drop("bits_per_byte").collect()), key=str)
+    monkeypatch.setattr(sc, "ONE_HOP", 3)
+    two = sorted(map(tuple, sc.score_texts(docs, vocabulary=100).drop("bits_per_byte").collect()), key=str)
+    assert len(one) == len(two) > 0
+    assert all(a[:5] == b[:5] and abs(a[6] - b[6]) < 1e-6 * (1 + abs(a[6])) for a, b in zip(one, two))
+    assert sc.score_texts(table(spark, [])).count() == 0
+
+
+def test_what_a_batch_sends_does_not_grow_with_the_buckets():
+    rng = np.random.default_rng(3)
+    n, vocabulary = 1 << 18, 1 << 14
+    counts = 1e6 / (np.arange(vocabulary) + 3)
+    lex = sc.Lexicon([b"w%d" % k for k in range(vocabulary)], counts, counts.sum())
+    word = rng.choice(vocabulary + 2000, n, p=(p := np.append(counts, np.full(2000, counts[-1]))) / p.sum())
+    names = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2)
+    learn, sent = np.ones(512, dtype=bool), {}
+    for power in (8, 14, 17):
+        b = sc.Batch(np.full(512, n // 512), word, names, lex, power + sc.INNER)
+        out = sc.Asked(b, power, power + sc.INNER, sc.hops(power)).columns(b, learn)
+        sent[power] = len(out["bucket"]), sum(len(x) for k, v in out.items() if k != "bucket" for x in v)
+    assert max(rows for rows, _ in sent.values()) <= 512
+    assert sent[14][1] < 1.2 * sent[8][1] and sent[17][1] < 1.2 * sent[8][1], sent
+
+
+def test_blocks_begin_short():
+    assert [sc.block_end(k) for k in range(8)] == [32, 64, 128, 256, 512, 1024, 1536, 2048]
+
+
 def test_scoring(spark):
     texts = corpus()
     got = sc.score_texts(table(spark, texts), vocabulary=100).collect()
