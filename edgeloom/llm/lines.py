@@ -23,7 +23,9 @@ each way in which two lines can be two edits apart there is a key under which
 all lines are (see ``_variants_of_two``), so again the earliest answers for all.
 
 Scale: keys are partial minima and joins on plain keys; what is shuffled are
-digests, and words only of lines that may have a neighbour.
+digests, and words only of lines that may have a neighbour. A variant's digest is
+made from those of the words before and after what is left out (``Deletions``), so
+a line's variants take time in proportion to its words, and they leave in stretches.
 """
 
 from __future__ import annotations
@@ -44,6 +46,36 @@ def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
+MODULUS = (1 << 127) - 1
+BASE = xxhash.xxh3_128_intdigest(b"lines") % MODULUS
+BACK = pow(BASE, -1, MODULUS)
+BACK_TWICE = BACK * BACK % MODULUS
+STRETCH = 1 << 16  # variants that leave at a time
+
+
+class Deletions:
+    """Digests of words without one or two of them, each in constant time: polynomials of the words' own digests."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.upto, total, power = [0], 0, 1
+        for w in words:
+            total = (total + xxhash.xxh3_128_intdigest(w) * power) % MODULUS
+            power = power * BASE % MODULUS
+            self.upto.append(total)
+        self.total = total
+
+    def all(self) -> bytes:
+        return self.total.to_bytes(16, "big")
+
+    def without(self, i: int) -> bytes:
+        return ((self.upto[i] + (self.total - self.upto[i + 1]) * BACK) % MODULUS).to_bytes(16, "big")
+
+    def without_two(self, i: int, j: int) -> bytes:
+        """Without words i and j, i < j."""
+        between, after = self.upto[j] - self.upto[i + 1], self.total - self.upto[j + 1]
+        return ((self.upto[i] + between * BACK + after * BACK_TWICE) % MODULUS).to_bytes(16, "big")
+
+
 def halves(words: list[bytes]) -> list[int]:
     """Keys of which two lines at a distance of 1 share one at least."""
     out, n = [], len(words)
@@ -93,20 +125,21 @@ def _variants(lines: DataFrame) -> DataFrame:
     """key, at, and each variant: place -1 is the line itself, n its length."""
 
     def run(batches: Iterator) -> Iterator[dict]:
+        names = ("variant", "place", "n", "key", *PLACE)
         for batch in rows(batches):
-            out: dict[str, list] = {k: [] for k in ("variant", "place", "n", "key", *PLACE)}
+            out: dict[str, list] = {k: [] for k in names}
             for key, doc, sub, line, joined in zip(*[batch[c].to_pylist() for c in ("key", *PLACE, "words")], strict=True):
-                words, n = joined.split(b" "), joined.count(b" ") + 1
-                starts, at = [], 0
-                for w in words:
-                    starts.append(at)
-                    at += len(w) + 1
-                whole = joined + b" "
-                out["variant"].append(xxhash.xxh3_128_digest(whole))
-                out["variant"] += [xxhash.xxh3_128_digest(whole[:s] + whole[s + len(w) + 1 :]) for s, w in zip(starts, words, strict=True)]
-                out["place"] += range(-1, n)
-                for k, v in (("n", n), ("key", key), ("doc_id", doc), ("_sub", sub), ("line", line)):
-                    out[k] += [v] * (n + 1)
+                words = joined.split(b" ")
+                made, n = Deletions(words), len(words)
+                for begin in range(-1, n, STRETCH):
+                    places = range(begin, min(n, begin + STRETCH))
+                    out["variant"] += [made.without(k) if k >= 0 else made.all() for k in places]
+                    out["place"] += places
+                    for k, v in (("n", n), ("key", key), ("doc_id", doc), ("_sub", sub), ("line", line)):
+                        out[k] += [v] * len(places)
+                    if len(out["n"]) >= STRETCH:
+                        yield out
+                        out = {k: [] for k in names}
             yield out
 
     return map_batches(lines.select("key", *PLACE, "words"), run, "variant binary, place int, n int, key binary, doc_id long, _sub long, line int")
@@ -139,22 +172,23 @@ def keys_of_two(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
     it stands. Lines of side 1 are within two edits of those of side 2: two words
     more, or one word more and another exchanged.
     """
-    n = len(words)
+    n, made = len(words), Deletions(words)
 
-    def key(kind: str, rest: list[bytes]) -> bytes:
-        return xxhash.xxh3_128_digest(kind.encode() + b"/" + b" ".join(rest))
+    def key(kind: str, rest: bytes) -> bytes:
+        return xxhash.xxh3_128_digest(kind.encode() + b"/" + rest)
 
-    yield key(f"more/{n}", words), 2
+    yield key(f"more/{n}", made.all()), 2
     for i in range(n):
-        one = words[:i] + words[i + 1 :]
+        one = made.without(i)
         yield key(f"any/{n}", one), 0
         yield key(f"place/{n}/{i}", one), 2
-        for j in range(i, n - 1):  # word j of what is left
-            two = one[:j] + one[j + 1 :]
-            yield key(f"places/{n}/{i}/{j + 1}", two), 0
+        for j in range(i + 1, n):
+            two = made.without_two(i, j)
+            yield key(f"places/{n}/{i}/{j}", two), 0
             yield key(f"more/{n - 2}", two), 1
-        for j in range(n - 1):
-            yield key(f"place/{n - 1}/{j}", one[:j] + one[j + 1 :]), 1
+            # of n - 1 words left once one is gone, the other's place
+            yield key(f"place/{n - 1}/{j - 1}", two), 1
+            yield key(f"place/{n - 1}/{i}", two), 1
 
 
 def _variants_of_two(lines: DataFrame) -> DataFrame:

@@ -364,6 +364,26 @@ def test_lines_of_texts_that_share_a_doc_id(spark):
     assert got == [(1, "alpha beta\nsecond", 0), (5, "own line", 1), (5, "unique first line\nanother", 0)]
 
 
+def test_deletions_are_told_apart_and_joined_by_their_words():
+    words = [b"a", b"b", b"a", b"c", b"b", b"b"]
+    made, n = lines.Deletions(words), len(words)
+    seen = {}
+    for k in range(n):
+        assert made.without(k) == lines.Deletions(words[:k] + words[k + 1 :]).all()
+        seen.setdefault(made.without(k), set()).add(tuple(words[:k] + words[k + 1 :]))
+        for j in range(k + 1, n):
+            assert made.without_two(k, j) == lines.Deletions(words[:k] + words[k + 1 : j] + words[j + 1 :]).all()
+    assert all(len(x) == 1 for x in seen.values()) and len(seen) == 5
+    assert lines.Deletions([]).all() != lines.Deletions([b"a"]).all()
+
+
+def test_a_line_of_very_many_words(spark):
+    words = [f"w{k % 9973}x{k % 1009}" for k in range(300_000)]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:200_000] + ["other"] + words[200_001:])), (3, " ".join(words[:7] + words[8:])), (4, " ".join([*words[:5], "p", "q", *words[7:]]))]
+    got = lines.duplicate_lines(table(spark, texts)).collect()
+    assert {r.doc_id for r in got} == {2, 3}
+
+
 def test_a_text_of_many_lines(spark):
     text = "\n".join(f"line {k // 2}" for k in range(100_000))
     got = lines.drop_duplicate_lines(table(spark, [(1, text), (2, "line 7\nown")])).orderBy("doc_id").collect()
