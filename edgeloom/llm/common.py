@@ -26,7 +26,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what a path of the shared folder holds, if anything."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -35,7 +36,7 @@ def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_written_to", None):
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 @contextmanager
@@ -48,7 +49,7 @@ def bucketed(df: DataFrame, n: int, column: str, label: str) -> Iterator[DataFra
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:

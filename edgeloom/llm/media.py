@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, read, rows, without_shuffle_files
+from .common import delete, map_batches, materialize, new_path, read, rows, without_shuffle_files
 
 WIDTH = 64
 #: A pseudo-random number for each byte value, by rule.
@@ -86,11 +86,12 @@ def recipes(docs: DataFrame) -> DataFrame:
     return materialize(map_batches(docs.select("doc_id", "text"), run, RECIPE), "recipes")
 
 
-def write_chunks(docs: DataFrame, known: DataFrame | None = None, name: str | None = None) -> DataFrame:
+def write_chunks(docs: DataFrame, known: DataFrame | None = None, name: str | None = None, path: str | None = None) -> DataFrame:
     """Store each chunk of ``docs`` once; returns the store (digest, packed), a table bucketed by digest.
 
     ``known`` may be an earlier store; chunks that it has are not stored again.
-    The table is called ``name`` (by default a new one) and stays until it is dropped.
+    The table is called ``name`` (by default a new one); its files are at ``path`` (by
+    default in the shared folder). It stays until it is dropped and its files are deleted.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -108,7 +109,7 @@ def write_chunks(docs: DataFrame, known: DataFrame | None = None, name: str | No
         once = once.join(known.select("digest"), "digest", "left_anti")
     name = name or f"chunks_{uuid.uuid4().hex}"
     with without_shuffle_files(spark):
-        once.write.bucketBy(n, "digest").option("compression", "none").saveAsTable(name)
+        once.write.bucketBy(n, "digest").option("compression", "none").option("path", path or new_path(spark, "chunks")).saveAsTable(name)
     return spark.table(name)
 
 
@@ -184,9 +185,13 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     equal texts give equal values. Null and empty texts are a payload of 64
     bytes 0; a null doc_id is kept; no rows give no rows.
     """
-    recipe, name = recipes(docs), f"chunks_{uuid.uuid4().hex}"
-    back = materialize(rebuild(recipe, write_chunks(docs, name=name)), "media")
-    docs.sparkSession.sql(f"DROP TABLE {name}")
+    spark = docs.sparkSession
+    recipe, name, path = recipes(docs), f"chunks_{uuid.uuid4().hex}", new_path(spark, "chunks")
+    try:
+        back = materialize(rebuild(recipe, write_chunks(docs, name=name, path=path)), "media")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
     return recipe.select("doc_id", "n_bytes", "media_bytes", "media").join(back, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
