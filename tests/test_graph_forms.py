@@ -321,3 +321,17 @@ def test_dense_rows_are_compared_in_blocks(spark):
         assert "dst" not in found.columns and "sequence" in found._jdf.queryExecution().toString()  # blocks
         one, other = (tuples(similarity.candidate_edges(e, alpha, pruned=p), F.coalesce("parent", F.lit(-1)), "child", "weight") for p in (True, False))
         assert one == other
+
+
+def test_rows_that_meet_by_chance_are_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MOST_HEAVY", 8)  # so that columns are joined
+    rng = random.Random(11)
+    rows = {r: rng.sample(range(60), 12) for r in range(200)}
+    rows.update({200 + r: rows[r][1:] + [70 + r] for r in range(10)} | {300: [3], 301: [3, 4]})
+    e = graph(spark, [(r, c) for r, cs in rows.items() for c in cs])
+    for alpha in (0, 2):
+        want = [(p, c, len(set(rows[p]) ^ set(rows[c]))) for p in rows for c in rows if p != c and len(set(rows[p]) ^ set(rows[c])) < len(rows[c]) - alpha]
+        for prefix in (True, False):
+            assert similarity.pruned_overlap(e, alpha, prefix).count() < 2_500  # of some 20,000 that share a column
+            got = similarity.candidate_edges(e, alpha, pruned=prefix).where("parent is not null")
+            assert tuples(got, "parent", "child", "weight") == sorted(want)
