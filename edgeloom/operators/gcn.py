@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
+from ..functions.vectors import inv_sqrt
 from ..functions.vectors import relu as relu_column
+from ..functions.vectors import scale
 from .compress import Compressed, compress
-from .normalize import normalize_edges
 from .propagate import fill_nodes, propagate
 
 
@@ -39,9 +40,27 @@ def relu(x: DataFrame) -> DataFrame:
     return x.select("node", relu_column(F.col("x")).alias("x"))
 
 
+def _scales(edges: DataFrame) -> DataFrame:
+    """node, scale = deg^-1/2 of targets. Written."""
+    counts = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    return materialize(counts.select("node", inv_sqrt(F.col("deg")).alias("scale")), "scales")
+
+
+def _scaled(x: DataFrame, scales: DataFrame) -> DataFrame:
+    """Features times their node's scale, 0 where it has none."""
+    return x.select("node", "x").join(scales, "node", "left").select("node", scale(F.col("x"), F.coalesce("scale", F.lit(0.0))).alias("x"))
+
+
+def _normalized_sums(edges: DataFrame, scales: DataFrame, x: DataFrame, n: int, width: int) -> DataFrame:
+    """Propagation over ``normalize_edges``: features are scaled before and sums after it, so edges carry no weight and are joined once."""
+    sums = propagate(edges.select("src", "dst"), _scaled(x, scales), n, width, message=lambda x_j: x_j)
+    return _scaled(sums, scales)
+
+
 def gcn_layer(edges: DataFrame, x: DataFrame, w: np.ndarray, n: int, normalized: bool = False) -> DataFrame:
     """linear, then propagation with symmetric weights; ``normalized``: edges have them already."""
-    return propagate(edges if normalized else normalize_edges(edges), linear(x, w), n, len(w))
+    h = linear(x, w)
+    return propagate(edges, h, n, len(w)) if normalized else _normalized_sums(edges, _scales(edges), h, n, len(w))
 
 
 def compressed_gcn_layer(c: Compressed, x: DataFrame, w: np.ndarray) -> DataFrame:
@@ -50,7 +69,7 @@ def compressed_gcn_layer(c: Compressed, x: DataFrame, w: np.ndarray) -> DataFram
 
 
 def gcn_model(edges: DataFrame, x: DataFrame, weights: list[np.ndarray], n: int, strategy: str = "direct", form: Compressed | None = None, alpha: int = 2) -> DataFrame:
-    """Two layers or more, relu between them; edge weights are computed once.
+    """Two layers or more, relu between them; the nodes' scales are computed once.
 
     ``strategy`` ``compressed`` multiplies by a normalised compressed form, built
     once for all layers, or by ``form``, one of the edges as target -> source
@@ -64,8 +83,8 @@ def gcn_model(edges: DataFrame, x: DataFrame, weights: list[np.ndarray], n: int,
         form.check_source(rows, normalized=True)
         layer = lambda x, w: fill_nodes(compressed_gcn_layer(form, x, w), n, len(w))
     elif strategy == "direct":
-        weighted = materialize(normalize_edges(edges), "weighted")
-        layer = lambda x, w: gcn_layer(weighted, x, w, n, normalized=True)
+        scales = _scales(edges)
+        layer = lambda x, w: _normalized_sums(edges, scales, linear(x, w), n, len(w))
     else:
         raise ValueError(f"unknown strategy {strategy}")
     for k, w in enumerate(weights):
@@ -76,7 +95,7 @@ def gcn_model(edges: DataFrame, x: DataFrame, weights: list[np.ndarray], n: int,
 
 def weight_gradient(edges: DataFrame, x: DataFrame, g: DataFrame, n: int, n_in: int, n_out: int, normalized: bool = False) -> DataFrame:
     """out, in, v: the gradient g' (A x) of a layer's weight; partial outer products a batch."""
-    h = propagate(edges if normalized else normalize_edges(edges), x, n, n_in)
+    h = propagate(edges, x, n, n_in) if normalized else _normalized_sums(edges, _scales(edges), x, n, n_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n_out, n_in))

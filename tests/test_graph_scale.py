@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from edgeloom.jobs import fixtures as fx
 from edgeloom.operators import compress as cm
 from edgeloom.operators import edges as ed
+from edgeloom.functions.storage import materialize
+from edgeloom.operators import gcn, normalize
 from edgeloom.operators import propagate as pr
 from edgeloom.operators import report, tree
 from edgeloom.sources.graphs import read_coordinate_text
@@ -121,3 +123,44 @@ def test_the_guard_lets_other_import_errors_through(tmp_path):
     assert run().stdout.split()[1:] == ["False"]  # no corpus_pipeline
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
     assert "no_such_module" in run().stderr
+
+
+def test_tasks_of_copurchase_follow_the_lines(spark, monkeypatch):
+    plain = pairs_of(fx.copurchase(spark, SMALL))
+    monkeypatch.setattr(fx, "LINES_AT_ONCE", 200)  # some 6,000 lines, so 30 tasks; the session has 4
+    many = fx.copurchase(spark, SMALL)
+    assert pairs_of(many) == plain and len(many.inputFiles()) > 20
+
+
+def test_a_layer_joins_its_edges_once(spark):
+    rng = random.Random(5)
+    e = materialize(graph(spark, [(i, j) for i in range(12) for j in range(12) if rng.random() < 0.3]), "plain")
+    looped = ed.add_self_loops(e.where("src <> dst"), 12, repeats=False)
+    x, w = vectors(spark, np.arange(24).reshape(12, 2)), np.array([[1.0, -2.0], [0.5, 3.0]])
+    layer = gcn.gcn_layer(looped, x, w, 12)
+    assert layer._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1  # edges and loops are read once
+    report.assert_close(layer, pr.propagate(normalize.normalize_edges(ed.add_self_loops(e, 12)), gcn.linear(x, w), 12, 2), 1e-9, 1e-9)
+    report.assert_close(gcn.gcn_layer(e, x, w, 12), pr.propagate(normalize.normalize_edges(e), gcn.linear(x, w), 12, 2), 1e-9, 1e-9)  # nodes without edges
+
+
+def test_sizes_of_a_rooted_tree_take_no_tour(spark, monkeypatch):
+    rng = random.Random(6)
+    up = {v: None if rng.random() < 0.05 else rng.randrange(v) for v in range(1, 300)} | {0: None}
+    frame = spark.createDataFrame(list(up.items()), "row long, parent long")
+    size = dict.fromkeys(up, 1)
+    for v in sorted(up, reverse=True):
+        if up[v] is not None:
+            size[up[v]] += size[v]
+    whole = sorted(map(tuple, tree.heavy_paths(frame).collect()))
+    monkeypatch.delattr(tree, "_toured")
+    assert {r.row: r.size for r in tree._sized(frame).collect()} == size
+    assert sorted(map(tuple, tree.heavy_paths(frame, few=0).collect())) == whole
+
+
+def test_rows_without_links_are_not_searched(spark, monkeypatch):
+    links = spark.createDataFrame([(1, 2, 1)], "a long, b long, w long")
+    rows = spark.createDataFrame([(v, 3) for v in range(1, 50)], "row long, nnz long")
+    asked, search = [], tree._boruvka
+    monkeypatch.setattr(tree, "_boruvka", lambda found: asked.append(found.count()) or search(found))
+    got = sorted(map(tuple, tree.tree_of_links(links, rows, 1).collect()))
+    assert asked == [3] and got == [(1, None, 3, 1), (2, 1, 1, 2)] + [(v, None, 3, 1) for v in range(3, 50)]
