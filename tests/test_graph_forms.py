@@ -355,3 +355,11 @@ def test_copies_are_members_of_a_kind(spark, monkeypatch):
     other = similarity.candidate_edges(copies, 2, pruned=False).where("parent > child").select(F.col("child").alias("a"), F.col("parent").alias("b"), F.col("weight").alias("w"))
     one, two = (tree.tree_of_links(f, rows, 2).agg(F.sum("weight")).first()[0] for f in (forest, every.union(other).distinct()))
     assert one == two
+
+
+def test_a_pair_is_met_one_way_round(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_dense", lambda ranked, rows: (None, []))
+    e = graph(spark, [(0, c) for c in range(4)] + [(1, c) for c in range(5)])
+    forest, tiers = similarity.rising_forest(e)
+    assert tuples(forest, "a", "b", "w") == [(0, 1, 1)]
+    assert (tiers[0]["joined"], tiers[0]["verified"]) == (1, 1)
