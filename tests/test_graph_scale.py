@@ -14,7 +14,7 @@ from edgeloom.operators import edges as ed
 from edgeloom.functions.storage import materialize
 from edgeloom.operators import gcn, normalize
 from edgeloom.operators import propagate as pr
-from edgeloom.operators import report, tree
+from edgeloom.operators import report, similarity, tree
 from edgeloom.sources.graphs import read_coordinate_text
 
 from .test_graph import dense, graph, vectors
@@ -164,3 +164,52 @@ def test_rows_without_links_are_not_searched(spark, monkeypatch):
     monkeypatch.setattr(tree, "_boruvka", lambda found: asked.append(found.count()) or search(found))
     got = sorted(map(tuple, tree.tree_of_links(links, rows, 1).collect()))
     assert asked == [3] and got == [(1, None, 3, 1), (2, 1, 1, 2)] + [(v, None, 3, 1) for v in range(3, 50)]
+
+
+def dense_graph(spark, rows, columns, seed):
+    rng = random.Random(seed)
+    kinds = {frozenset(c for c in range(columns) if rng.random() < 0.8) for _ in range(rows)}
+    sets = dict(enumerate(sorted(kinds - {frozenset()}, key=sorted)))
+    return graph(spark, [(r, c) for r, held in sets.items() for c in held]), sets
+
+
+def least_forest(sets):
+    """a, b, w as a search by rising length finds it among all links and no root edges."""
+    links = sorted((len(sets[a] ^ sets[b]), a, b) for a in sets for b in sets if a < b and len(sets[a] ^ sets[b]) < max(len(sets[a]), len(sets[b])))
+    up, out = {v: v for v in sets}, []
+    for w, a, b in links:
+        p, q = up[a], up[b]
+        if p != q:
+            out.append((a, b, w))
+            up = {v: q if t == p else t for v, t in up.items()}
+    return sorted(out)
+
+
+def test_near_bitmaps_are_looked_up(spark, monkeypatch):
+    e, sets = dense_graph(spark, 400, 12, 7)
+    ways = []
+    look_up = similarity._turned_pairs
+    monkeypatch.setattr(similarity, "_turned_pairs", lambda *a: ways.append(a) or look_up(*a))
+    monkeypatch.setattr(similarity, "LOOK_UP", 1)
+    monkeypatch.delattr(similarity, "bitmap_pairs")  # all pairs of rows
+    got = sorted(map(tuple, similarity.rising_forest(e, growth=2)[0].collect()))
+    assert ways and len(got) == len(sets) - 1 and got == least_forest(sets)
+
+
+def test_all_ways_to_near_bitmaps_give_the_same(spark, monkeypatch):
+    e, sets = dense_graph(spark, 300, 70, 8)  # two words
+    few = {r: frozenset(sets[r % 40] ^ {r % 70} if r >= 40 else sets[r]) for r in range(200)}
+    e = graph(spark, [(r, c) for r, held in few.items() for c in held])
+    maps, words = similarity._dense(similarity._ranked(e, 0), 0)
+    assert len(words) == 2 and similarity._all_columns(maps, words) == 70
+    maps = maps.withColumn("component", F.when(F.col("row") < 150, 0).otherwise(F.col("row")).cast("long")).withColumn("reach", F.lit(9).cast("long"))
+    part = lambda r: 0 if r < 150 else r
+    want = {(a, b): len(few[a] ^ few[b]) for a in few for b in few if a < b and part(a) != part(b)}
+    for look_up, rows, bound in ((0, 200, 2), (10**6, 10**6, 2), (10**6, 1, 2)):
+        monkeypatch.setattr(similarity, "LOOK_UP", look_up)
+        found = similarity._between_components(maps, words, rows, 70, 0, bound).select(F.least("u", "v"), F.greatest("u", "v"), "h").collect()
+        near = [(a, b, h) for a, b, h in found if 0 < h <= bound]
+        assert sorted(near) == sorted((*k, h) for k, h in want.items() if 0 < h <= bound) and len(near) > 5
+    own = graph(spark, [(r, c) for r, held in few.items() for c in held] + [(3, 999)])  # a column of one row alone is in no bitmap
+    maps, words = similarity._dense(similarity._ranked(own, 0), 0)
+    assert similarity._all_columns(maps, words) == 0
