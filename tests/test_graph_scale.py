@@ -213,3 +213,21 @@ def test_all_ways_to_near_bitmaps_give_the_same(spark, monkeypatch):
     own = graph(spark, [(r, c) for r, held in few.items() for c in held] + [(3, 999)])  # a column of one row alone is in no bitmap
     maps, words = similarity._dense(similarity._ranked(own, 0), 0)
     assert similarity._all_columns(maps, words) == 0
+
+
+def test_tasks_follow_the_pairs_that_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = {r: set(rng.sample(range(40), 8)) for r in range(200)}
+    e = materialize(graph(spark, [(r, c) for r, held in rows.items() for c in held] + [(r, 99) for r in rows]), "plain")
+    want = sorted((a, b, len(rows[a] & rows[b]) + 1) for a in rows for b in rows if a < b and 2 * (len(rows[a] & rows[b]) + 1) > 9)
+    monkeypatch.setattr(similarity, "MADE_AT_ONCE", 1000)
+    monkeypatch.setattr(similarity, "LOT", 30)  # the column of all rows is dealt to seven
+    monkeypatch.setattr(similarity, "_heavy_columns", lambda *_: (None, False))
+    met, made = similarity._met, []
+    monkeypatch.setattr(similarity, "_met", lambda one, two, n: made.append((n, met(one, two, n))) or made[-1][1])
+    for prefix in (True, False):
+        found = similarity.row_distances(e, similarity.pruned_overlap(e, 0, prefix)).where("h < greatest(nnz_u, nnz_v)")
+        assert sorted(tuple(r) for r in found.select("u", "v", "overlap").collect()) == want
+    for n, joined in made:  # adaptive execution leaves the tasks as they are
+        assert joined.count() == n and joined.rdd.getNumPartitions() == -(-n // 1000) > 20
+    assert made[1][1].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20_000  # of 40,000 that meet in one column
