@@ -231,3 +231,15 @@ def test_tasks_follow_the_pairs_that_meet(spark, monkeypatch):
     for n, joined in made:  # adaptive execution leaves the tasks as they are
         assert joined.count() == n and joined.rdd.getNumPartitions() == -(-n // 1000) > 20
     assert made[1][1].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20_000  # of 40,000 that meet in one column
+
+
+def test_the_join_of_all_columns_counts_them(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = {r: set(rng.sample(range(30), rng.randint(1, 5))) for r in range(120)}
+    e = graph(spark, [(r, c) for r, held in rows.items() for c in held])
+    for name in ("counted_overlap", "_with_light"):  # a second look at the pairs
+        monkeypatch.delattr(similarity, name)
+    for alpha in (0, 1):
+        want = sorted((a, b, len(rows[a] & rows[b])) for a in rows for b in rows if a < b and 2 * len(rows[a] & rows[b]) > min(len(rows[a]), len(rows[b])) + alpha)
+        found = similarity.row_distances(e, similarity.pruned_overlap(e, alpha, prefix=False)).where(f"h < greatest(nnz_u, nnz_v) - {alpha}")
+        assert sorted(tuple(r) for r in found.select("u", "v", "overlap").collect()) == want
