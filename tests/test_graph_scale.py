@@ -243,3 +243,16 @@ def test_the_join_of_all_columns_counts_them(spark, monkeypatch):
         want = sorted((a, b, len(rows[a] & rows[b])) for a in rows for b in rows if a < b and 2 * len(rows[a] & rows[b]) > min(len(rows[a]), len(rows[b])) + alpha)
         found = similarity.row_distances(e, similarity.pruned_overlap(e, alpha, prefix=False)).where(f"h < greatest(nnz_u, nnz_v) - {alpha}")
         assert sorted(tuple(r) for r in found.select("u", "v", "overlap").collect()) == want
+
+
+def test_digests_of_many_edges_do_not_overflow(spark):
+    n = 20_000_000  # more than 2 ** 24: a sum of 40 bits for each is beyond 63
+    e = spark.range(n).select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    digest = cm.edge_digest(e)
+    assert digest[0] == n and digest[3] == 0 and all(-(1 << 63) <= x < 1 << 63 for x in digest)
+    other = e.withColumn("dst", F.when(F.col("src") == 7, 8).otherwise(F.col("dst")))
+    assert cm.edge_digest(other) != digest and cm.edge_digest(e.repartition(5)) == digest
+    few = graph(spark, [(0, 1), (2, 3), (None, 4)])
+    one, two = F.xxhash64("src", "dst"), F.xxhash64("src", "dst", F.lit(1))
+    plain = few.agg(F.count(F.lit(1)), F.bit_xor(one), F.sum(F.pmod(two, F.lit(1 << 40))), F.lit(1).cast("long")).first()
+    assert cm.edge_digest(few) == tuple(plain)  # as in forms written before
