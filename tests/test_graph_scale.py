@@ -256,3 +256,25 @@ def test_digests_of_many_edges_do_not_overflow(spark):
     one, two = F.xxhash64("src", "dst"), F.xxhash64("src", "dst", F.lit(1))
     plain = few.agg(F.count(F.lit(1)), F.bit_xor(one), F.sum(F.pmod(two, F.lit(1 << 40))), F.lit(1).cast("long")).first()
     assert cm.edge_digest(few) == tuple(plain)  # as in forms written before
+
+
+def test_pairs_of_copies_are_returned_and_not_sent(spark):
+    from edgeloom.jobs.registry import QUERIES
+
+    e = fx.user_day(spark, "/root/testdata/sf0.01")
+    sizes = e.groupBy("src").count()
+    pairs = similarity._light_overlap(e).join(sizes.toDF("u", "nnz_u"), "u").join(sizes.toDF("v", "nnz_v"), "v")
+    want = sorted(map(tuple, pairs.select("u", "v", "nnz_u", "nnz_v", "overlap", (F.col("nnz_u") + F.col("nnz_v") - 2 * F.col("overlap"))).collect()))
+    assert len(want) > sizes.count() * (sizes.count() - 1) // 2 - 10 and similarity.equal_rows(e).where("copies > 1").count() > 1
+    whole = QUERIES["row_distances"](spark, "/root/testdata/sf0.01")
+    assert whole.columns == ["u", "v", "nnz_u", "nnz_v", "overlap", "h"] and sorted(map(tuple, whole.collect())) == want
+    overlaps = QUERIES["row_overlap"](spark, "/root/testdata/sf0.01")
+    assert overlaps.columns == ["u", "v", "overlap"] and sorted(map(tuple, overlaps.collect())) == sorted((u, v, k) for u, v, _, _, k, _ in want)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Repartition") == 2 and "Aggregate" not in plan  # blocks of rows meet, and pairs go nowhere else
+
+
+def test_blocks_grow_with_the_rows():
+    sent = {n: n * (similarity._blocks(n) + 1) for n in (9_000, 90_000, 540_000)}
+    assert sent[540_000] <= 10 * sent[90_000] and similarity._blocks(9_000) == 8 and similarity._blocks(90_000) == 44
+    assert -(-3_000_000 // similarity._blocks(3_000_000)) <= 8 * similarity.BLOCK_ROWS
