@@ -278,3 +278,16 @@ def test_blocks_grow_with_the_rows():
     sent = {n: n * (similarity._blocks(n) + 1) for n in (9_000, 90_000, 540_000)}
     assert sent[540_000] <= 10 * sent[90_000] and similarity._blocks(9_000) == 8 and similarity._blocks(90_000) == 44
     assert -(-3_000_000 // similarity._blocks(3_000_000)) <= 8 * similarity.BLOCK_ROWS
+
+
+def test_dense_rows_have_few_candidates_of_a_least_tree(spark):
+    e, sets = dense_graph(spark, 150, 14, 11)
+    e = e.union(e.where("src < 20").select(F.col("src") + 1000, "dst"))
+    n = len(sets) + 20
+    for alpha in (0, 2):
+        cand = materialize(similarity.kind_candidates(e, alpha), "candidates")
+        assert cand.where("parent is null").count() == n and cand.count() <= 4 * n
+        every = materialize(similarity.candidate_edges(e, alpha, pruned=False), "every")
+        assert every.count() > 40 * n and cand.exceptAll(every).isEmpty()
+        totals = [tree.compression_tree(c, alpha).agg(F.count(F.lit(1)), F.sum("weight")).first() for c in (cand, every)]
+        assert totals[0] == totals[1] and totals[0][0] == n
