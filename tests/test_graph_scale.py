@@ -291,3 +291,26 @@ def test_dense_rows_have_few_candidates_of_a_least_tree(spark):
         assert every.count() > 40 * n and cand.exceptAll(every).isEmpty()
         totals = [tree.compression_tree(c, alpha).agg(F.count(F.lit(1)), F.sum("weight")).first() for c in (cand, every)]
         assert totals[0] == totals[1] and totals[0][0] == n
+
+
+def test_pairs_that_signatures_tell_apart_are_not_counted(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MOST_HEAVY", 6)  # the others are joined
+    rng = random.Random(12)
+    rows = {r: set(range(4)) | set(rng.sample(range(10, 400), 30)) for r in range(60)}
+    rows.update({100 + r: set(list(rows[r])[:28]) | {500 + r} for r in range(20)})
+    e = materialize(graph(spark, [(r, c) for r, held in rows.items() for c in held]), "plain")
+    common = {(a, b): len(rows[a] & rows[b]) for a in rows for b in rows if a < b}
+    pairs = materialize(spark.createDataFrame([(a, b, 12) for a, b in common], "u long, v long, least long"), "pairs")
+    counted, with_light = [], similarity._with_light
+    monkeypatch.setattr(similarity, "_with_light", lambda p, rest: counted.append(p.count()) or with_light(p, rest))
+    for few in (0, 10**6):  # bitmaps are sent with the pairs, or to all executors
+        monkeypatch.setattr(similarity, "FEW_WORDS", few)
+        found = {(u, v): k for u, v, _, k in similarity.counted_overlap(pairs, e, needed=F.col("least")).collect()}
+        assert all(common[p] == k for p, k in found.items()) and {p for p, k in common.items() if k >= 12} <= set(found)
+        assert 20 <= counted[-1] < len(common) / 4
+    every = {(u, v): k for u, v, _, k in similarity.counted_overlap(pairs, e).collect()}
+    assert every == common and counted[-1] == len(common)
+    monkeypatch.setattr(similarity, "_dense", lambda ranked, n: (None, []))
+    sizes = e.groupBy(F.col("src").alias("row")).agg(F.count(F.lit(1)).alias("nnz"))
+    totals = [tree.tree_of_links(f, sizes, 2).agg(F.sum("weight")).first()[0] for f in (similarity.rising_forest(e, 2)[0], similarity.row_links(e, 2))]
+    assert totals[0] == totals[1]
